@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, simhash, tokenfile
+from . import bpe, linededup, mixing, simhash, tokenfile, winnowing
 
 QUERIES = {
+    "op1_winnowing": winnowing.op1_winnowing,
+    "op2_mixing": mixing.op2_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
-ORACLE_SQL = {"op10_line_dedup": linededup.OP10_SQL}
+ORACLE_SQL = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op10_line_dedup": linededup.OP10_SQL,
+}
