@@ -57,9 +57,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
+def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Python bytes of a string column, null as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
