@@ -15,6 +15,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .common import cut, partitions, shared_dir, table, text_bytes
 
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 MAGIC, HEAD = b"SILTIDS1", struct.Struct("<8s5Q")
-#: Ids to a file at most, unless one document has more; chunks that a worker remembers, and the longest of them.
-FILE_IDS, CACHE, CACHE_LEN = 8_000_000, 400_000, 48
+#: Ids to a file at most, unless one document has more; runs to a generation of those remembered, and the longest of them.
+FILE_IDS, CACHE, CACHE_LEN = 8_000_000, 300_000, 48
+#: Marks that are a pre-token of their own behind a letter.
+MARKS = ".,;:!?"
 #: The lengths of the four ranks behind each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -39,6 +43,9 @@ class WordTokenizer:
     """Encodes with the tokenizers library, each run between ASCII white space by itself, and remembers runs.
 
     The tokenizer's normaliser and pre-tokeniser never look across white space, so the runs' ids, joined, are the text's.
+    A run of plain Latin letters, perhaps with one mark behind it, needs no normaliser but lower case and goes straight to
+    the library's BPE model; any other run goes through all of the tokenizer. Runs are remembered in two generations: as
+    the younger is full it becomes the older, whose runs return to the younger as they are met.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -47,8 +54,11 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.chars = dict(enumerate(byte_chars()))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -56,20 +66,44 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of lower-case Latin letters."""
+        key = word.encode()
+        ids = self.young.get(key) or self.old.get(key)
+        if ids is None:
+            text = word if word.isascii() else key.decode("latin-1").translate(self.chars)
+            ids = self.young[key] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return ids
+
+    def _run(self, run: bytes) -> bytes:
+        """The ids of a run that isn't in the younger generation."""
+        ids = self.old.get(run)
+        if ids is None:
+            text = run.decode("utf-8", "replace")
+            core = text[:-1] if text[-1] in MARKS else text
+            if core.isalpha() and (core.isascii() or max(core) <= "\u017f" and "\u0130" not in core):
+                ids = self._letters(core.lower())
+                if core is not text:
+                    mark = run[-1:]
+                    ids += self.young.get(mark) or self._run(mark)
+            else:
+                ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(run) <= CACHE_LEN:
+            self.young[run] = ids
+        return ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        runs = [x.split() for x in texts]
-        known = self.cache
-        new = list({w for run in runs for w in run if w not in known})
-        coded = self.model.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(new, coded, strict=True)}
-        known.update(fresh)
-        out = [b"".join([known[w] for w in run]) for run in runs]
-        for w in new:
-            if len(w) > CACHE_LEN:
-                del known[w]
+        out, run_ids = [], self._run
+        for text in texts:
+            if len(self.young) > CACHE:
+                self.young, self.old = {}, self.young
+            runs = text.split()
+            ids = list(map(self.young.get, runs))
+            if None in ids:
+                young = self.young
+                ids = [x if x is not None else young.get(w) or run_ids(w) for w, x in zip(runs, ids)]
+            out.append(b"".join(ids))
         return out
 
 
