@@ -1,8 +1,9 @@
 """Toxicity by a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Whether a text holds an n-gram (3 to 6 letters and word ends, hashed) is a feature. Over all labelled rows each bucket's
+Whether a text holds an n-gram (3 to 6 letters and word ends, hashed) is a feature. Each bucket's
 counts in toxic and other texts give its log-count ratio; the buckets whose ratio is surest are kept. A logistic
-regression over presence times ratio is trained on a bounded sample of labelled rows.
+regression over presence times ratio is trained on them. All training is on a bounded sample of labelled rows, about
+`per_class` of each class, drawn by a hash of the doc_id.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fresh, table
+from .common import cut, extended, fresh, table
 from .grams import code_points, gram_buckets
 from .langid import fold, sampled
 
-#: Sizes of grams; bits of a bucket; buckets kept; rows of a class to train the regression on; its penalty and steps.
-SIZES, BITS, KEPT, PER_CLASS, PENALTY, STEPS = (3, 4, 5, 6), 20, 20_000, 4000, 1e-3, 300
+#: Sizes of grams; bits of a bucket; buckets kept; rows of a class to train on; the regression's penalty and steps.
+SIZES, BITS, KEPT, PER_CLASS, PENALTY, STEPS = (3, 4, 5, 6), 20, 4000, 5000, 1e-3, 150
 THRESHOLD = 0.7
 
 
@@ -102,6 +103,7 @@ def train_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, pen
 def train(labelled: DataFrame, bits: int = BITS, kept: int = KEPT, per_class: int = PER_CLASS) -> ToxicityModel:
     """A model from `labelled` (doc_id, text, toxic 0 or 1). Without toxic rows, or without others, it scores their share."""
     labelled = labelled.where("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    labelled = cut(sampled(labelled, "toxic", per_class, 2 * per_class))
     chosen, ratio = log_count_ratios(labelled, bits, kept)
     place = np.full(1 << bits, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
@@ -112,7 +114,7 @@ def train(labelled: DataFrame, bits: int = BITS, kept: int = KEPT, per_class: in
             rows = [bare.present(x).astype("<i4").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary())], names=["toxic", "row"])
 
-    got = sampled(labelled, "toxic", per_class, 2 * per_class).mapInArrow(present, "toxic int, row binary").toArrow()
+    got = labelled.mapInArrow(present, "toxic int, row binary").toArrow()
     found = sorted(zip(got["toxic"].to_pylist(), got["row"].to_pylist()))
     y = np.array([t for t, _ in found], float)
     if not len(y) or y.min() == y.max():
@@ -122,6 +124,15 @@ def train(labelled: DataFrame, bits: int = BITS, kept: int = KEPT, per_class: in
     return ToxicityModel(place, weights.astype(np.float32), bias, bits)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """(doc_id, text, toxic) of a sample of `labels` (doc_id, toxic); a doc_id with several labels counts as toxic if one is.
+
+    The sample is drawn before the join, so what is broadcast is bounded: about 2 * per_class rows of 12 bytes.
+    """
+    worst = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(cut(sampled(worst, "toxic", per_class, 2 * per_class))), "doc_id")
+
+
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with score (0 to 1) and predicted (1 where score is `threshold` or more).
 
@@ -142,8 +153,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", t
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     held_out = fold(docs, 3) == 1
-    labelled = docs.where(~held_out).join(labels, "doc_id")
-    model = train(labelled)
+    labels = table(spark, sf_dir, "labels")
+    model = train(labelled_sample(docs, labels.where(fold(labels, 3) != 1)))
     return score_texts(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
