@@ -32,7 +32,7 @@ from .common import cut, partitions, shared_dir, table, text_bytes
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 MAGIC, HEAD = b"SILTIDS1", struct.Struct("<8s5Q")
 #: Ids to a file at most, unless one document has more; runs to a generation of those remembered, and the longest of them.
-FILE_IDS, CACHE, CACHE_LEN = 8_000_000, 300_000, 48
+FILE_IDS, CACHE, CACHE_LEN = 8_000_000, 250_000, 48
 #: Marks that are a pre-token of their own behind a letter.
 MARKS = ".,;:!?"
 #: The lengths of the four ranks behind each control byte.
@@ -56,6 +56,8 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        #: Whether two bytes hold any id.
+        self.narrow = self.whole.get_vocab_size() <= 1 << 16
         self.chars = dict(enumerate(byte_chars()))
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -72,7 +74,7 @@ class WordTokenizer:
         ids = self.young.get(key) or self.old.get(key)
         if ids is None:
             text = word if word.isascii() else key.decode("latin-1").translate(self.chars)
-            ids = self.young[key] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            ids = self.young[key] = array("H" if self.narrow else "I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return ids
 
     def _run(self, run: bytes) -> bytes:
@@ -87,13 +89,13 @@ class WordTokenizer:
                     mark = run[-1:]
                     ids += self.young.get(mark) or self._run(mark)
             else:
-                ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2" if self.narrow else "<u4").tobytes()
         if len(run) <= CACHE_LEN:
             self.young[run] = ids
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian unsigned integers, of two bytes each if `narrow`, else four."""
         out, run_ids = [], self._run
         for text in texts:
             if len(self.young) > CACHE:
@@ -107,18 +109,30 @@ class WordTokenizer:
         return out
 
 
-def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, `end_id` last. A null text has the end id alone."""
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _packed_token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int | None) -> DataFrame:
+    """(doc_id, wide, packed): ids of four bytes each where wide, else of two; `end_id` last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.of(path)
+        end = b"" if end_id is None else struct.pack("<H" if words.narrow else "<I", end_id)
         for batch in batches:
-            ids = [x + end for x in words.encode(text_bytes(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = pa.array([x + end for x in words.encode(text_bytes(batch.column(1)))], pa.binary())
+            wide = pa.array(np.full(batch.num_rows, not words.narrow))
+            yield pa.RecordBatch.from_arrays([batch.column(0), wide, ids], names=["doc_id", "wide", "packed"])
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(encode, "doc_id long, wide boolean, packed binary")
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {id_type}, ids binary")
+
+def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, end_id: int | None = END_ID) -> DataFrame:
+    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, `end_id` last. A null text has the end id alone."""
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([x.astype("<u4").tobytes() for x in _unpack(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+
+    return _packed_token_ids(docs, id_col, text_col, path, end_id).mapInArrow(widen, "doc_id long, ids binary")
 
 
 def _narrow(ids: DataFrame) -> DataFrame:
@@ -137,7 +151,7 @@ def _narrow(ids: DataFrame) -> DataFrame:
 
 
 def _unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4" if w else "<u2").astype(np.int64) for w, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    return [np.frombuffer(x, "<u4" if w else "<u2") for w, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
 
 
 def frequency_ranks(packed: DataFrame) -> np.ndarray:
@@ -147,7 +161,7 @@ def frequency_ranks(packed: DataFrame) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             own = _unpack(batch)
-            n = np.bincount(np.concatenate(own) if own else np.zeros(0, np.int64), minlength=len(total))
+            n = np.bincount(np.concatenate([*own, np.zeros(0, np.uint16)]), minlength=len(total))
             n[: len(total)] += total
             total = n
         seen = np.flatnonzero(total)
@@ -183,7 +197,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray], ranked: np.ndarray) -> bytes:
     """A file of these documents; `ranked` has the ids in order of rank."""
-    whole = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    whole = np.concatenate([*ids, np.zeros(0, np.uint16)])
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.int64)
     rank_of[ranked] = np.arange(len(ranked))
     control, data = encode_ranks(rank_of[whole])
@@ -208,7 +222,7 @@ def read_file(raw: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 
 def write_token_files(ids: DataFrame, folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes (doc_id, ids) in ascending order of doc_id (nulls first) and returns the manifest.
+    """Writes (doc_id, ids), or (doc_id, wide, packed), in ascending order of doc_id (nulls first) and returns the manifest.
 
     The manifest has a row for each file: part, seq, path, n_docs, n_ids. Tasks write under names of their own, so a task
     that runs twice leaves a file that no manifest names. `folder` is one that driver and executors share; by default a
@@ -216,7 +230,7 @@ def write_token_files(ids: DataFrame, folder: str | None = None, file_ids: int =
     """
     spark = ids.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    packed = cut(_narrow(ids))
+    packed = cut(_narrow(ids) if "ids" in ids.columns else ids)
     ranked = frequency_ranks(packed)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +289,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
+def write_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, end_id: int | None = END_ID) -> DataFrame:
+    """Encodes `docs` and writes their ids; returns the manifest, as write_token_files() does. A null text has the end id alone."""
+    return write_token_files(_packed_token_ids(docs, id_col, text_col, path, end_id))
+
+
 def op9_token_file(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = read_token_files(write_token_files(token_ids(docs)))
+    read = read_token_files(write_documents(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

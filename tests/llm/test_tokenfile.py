@@ -21,7 +21,7 @@ def test_runs_encode_as_whole_texts():
     texts = ["".join(chr(rng.choice([32, rng.randrange(32, 127), rng.randrange(0x3000), rng.choice(odd)])) for _ in range(60)) for _ in range(2000)]
     texts += ["a <|endoftext|> b<|startoftext|>c", " ", "x" * 3000]
     for text, ids in zip(texts, own.encode([x.encode() for x in texts]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
 def test_files(docs, no_docs):
@@ -33,4 +33,6 @@ def test_files(docs, no_docs):
     assert len(got) == docs.count() and {(k, tuple(x)) for _, k, x in got} == want
     assert [s for s, _, _ in got] == np.cumsum([0, *(len(x) for _, _, x in got)])[:-1].tolist()
     assert [k for _, k, _ in got if k is not None] == sorted(k for _, k, _ in got if k is not None) and got[0][1] is None
-    assert tokenfile.read_token_files(tokenfile.write_token_files(tokenfile.token_ids(no_docs))).count() == 0
+    direct = tokenfile.read_token_files(tokenfile.write_documents(docs))
+    assert {(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in direct.collect()} == want
+    assert tokenfile.read_token_files(tokenfile.write_documents(no_docs)).count() == 0
