@@ -13,6 +13,7 @@ OPEN_SET, TAIL_SET = f"[{re.escape(OPEN)}]", f"[{re.escape(CLOSE + TRAIL)}]"
 #: What may stand between two words of prose, and the terminal escapes that count as such.
 _DELIMITERS = r" \t\n\r\f\v\[\](){}<>\"'`,:;|="
 _WORD = re.compile(rf"(?:\x1b(?:\[[^@-~]*[@-~]?)?|[{_DELIMITERS}])*([^{_DELIMITERS}\x1b]+)")
+_CORE = re.compile(r"[0-9A-Za-z](?:.*[0-9A-Za-z])?", re.S)
 _SHELL_TAIL = re.compile(r"[,;:.]{0,2}\Z")
 
 
@@ -28,12 +29,13 @@ def prose_words(text: str) -> list[tuple[int, int, int, int]]:
     """(begin, end, core begin, core end) of each word; the core lacks marks at both ends and may be empty."""
     out = []
     for m in _WORD.finditer(text):
+        begin, end = m.span(1)
         word = m[1]
-        lead = re.match(r"[^0-9A-Za-z]*", word).end()
-        tail = len(word)
-        while tail > lead and not (word[tail - 1].isascii() and word[tail - 1].isalnum()):
-            tail -= 1
-        out.append((m.start(1), m.end(1), m.start(1) + lead, m.start(1) + tail))
+        if word.isalnum() and word.isascii():
+            out.append((begin, end, begin, end))
+            continue
+        core = _CORE.search(word)
+        out.append((begin, end, begin + core.start(), begin + core.end()) if core else (begin, end, end, end))
     return out
 
 

@@ -40,7 +40,7 @@ def sequence_id(ids: list[bytes]) -> bytes:
 
 # --- names of units
 
-_VARYING = re.compile(r"\([^)]*\)|(?<![0-9A-Za-z_])(?:v?[0-9]+(?:\.[0-9]+)+(?![0-9A-Za-z_])|v[0-9]+(?![0-9A-Za-z_])|[0-9]{2,}(?![0-9A-Za-z_]))")
+_VARYING = re.compile(r"\([^)]*\)|(?<![0-9A-Za-z_])(?:v?[0-9]++(?:\.[0-9]++)++|v[0-9]++|[0-9]{2,}+)(?![0-9A-Za-z_])")
 
 
 def trimmed(name: str) -> str:
@@ -68,7 +68,7 @@ def unit_class_column(name: Column) -> Column:
     out = F.trim(name, F.lit(" \t"))
     word, edge = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
     # One kind at a time: what a parenthesis becomes has no digit, and a version's mask has none either.
-    for pattern, mask in ((r"\([^)]*\)", "(M)"), (rf"{word}(?:v?[0-9]+(?:\.[0-9]+)+|v[0-9]+){edge}", "vX"), (rf"{word}[0-9]{{2,}}{edge}", "N")):
+    for pattern, mask in ((r"\([^)]*\)", "(M)"), (rf"{word}(?:v?[0-9]++(?:\.[0-9]++)++|v[0-9]++){edge}", "vX"), (rf"{word}[0-9]{{2,}}+{edge}", "N")):
         out = F.regexp_replace(out, pattern, mask)
     return out
 

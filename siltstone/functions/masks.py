@@ -51,8 +51,12 @@ _EXTENT = re.compile(r"(?:<\*>|[0-9A-Za-z._+%~-]|[,:/](?=[0-9]|<\*>))*")
 _TAIL_ONLY = re.compile(rf"{TAIL_SET}*\Z")
 
 
+#: Tokens whose forms a masker remembers.
+REMEMBERED = 50_000
+
+
 def is_status_word(word: str) -> bool:
-    return lower(word) in STATUS_WORDS
+    return 4 <= len(word) <= 6 and lower(word) in STATUS_WORDS
 
 
 def _digits(text: str) -> bool:
@@ -513,6 +517,7 @@ class Masker:
 
     def __init__(self, runs: Sequence[DeclaredRun] = (), values: Sequence[InstanceValue] = ()) -> None:
         self.runs, self.values = tuple(runs), tuple(values)
+        self.seen: dict[str, str] = {}
 
     def _steps(self, form: str) -> str:
         form = _segments(instance_spans(form)[0])
@@ -521,11 +526,21 @@ class Masker:
         return replace_spans(form, shape_spans(form, self.values)) if self.values else form
 
     def form(self, token: str, before: str) -> str:
-        """What a token becomes; `before` is the token before it."""
+        """What a token becomes; `before` is the token before it. Forms that don't hang on that are remembered."""
+        if is_status_word(before):
+            return self._form(token, before)
+        form = self.seen.get(token)
+        if form is None:
+            form = self._form(token, "")
+            if len(token) <= 64:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[token] = form
+        return form
+
+    def _form(self, token: str, before: str) -> str:
         if _kept_status(token, before):
             return token
-        if token.isascii() and token.isalpha() and len(token) < HASH_LEN:
-            return self._steps(token) if self.runs or self.values else token
         if is_address(token):
             return WILDCARD
         found = composite(token)

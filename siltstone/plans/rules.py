@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from functools import cache, cached_property
 
 from ..functions.formats import Format
 from ..functions.masks import DeclaredRun, InstanceValue
@@ -163,8 +164,13 @@ def shape_regex(shape: str) -> str:
     return "(?s)^" + number.join(parts) + r"[ \t\r\n\x0b\f]*\z"
 
 
+@cache
+def _compiled(shape: str) -> re.Pattern:
+    return re.compile(shape_regex(shape).replace(r"\z", r"\Z"))
+
+
 def matches_shape(shape: str, content: str) -> bool:
-    return bool(re.match(shape_regex(shape).replace(r"\z", r"\Z"), content))
+    return content.startswith(shape.partition(HOLE)[0]) and bool(_compiled(shape).match(content))
 
 
 def _require(ok: bool, package: Package, what: str, row: object) -> None:
@@ -263,17 +269,49 @@ class Rules:
         rows = (r for p in self.packages for r in getattr(p, kind))
         return tuple(r for r in rows if r.gate in ("", self.dialect) and getattr(r, "channel", "") in ("", self.channel))
 
-    roles = property(lambda self: self._rows("roles"))
-    markers = property(lambda self: self._rows("markers"))
-    lifts = property(lambda self: self._rows("lifts"))
-    outcome_tokens = property(lambda self: self._rows("outcome_tokens"))
-    outcome_markers = property(lambda self: self._rows("outcome_markers"))
-    declared = property(lambda self: self._rows("declared"))
-    stops = property(lambda self: self._rows("stops"))
-    instances = property(lambda self: self._rows("instances"))
-    locations = property(lambda self: tuple(r for p in self.packages for r in p.locations))
-    formats = property(lambda self: tuple(p.format for p in self.packages if p.format))
-    hooks = property(lambda self: tuple(p.echoed_source for p in self.packages if p.echoed_source))
+    @cached_property
+    def roles(self) -> tuple:
+        return self._rows("roles")
+
+    @cached_property
+    def markers(self) -> tuple:
+        return self._rows("markers")
+
+    @cached_property
+    def lifts(self) -> tuple:
+        return self._rows("lifts")
+
+    @cached_property
+    def outcome_tokens(self) -> tuple:
+        return self._rows("outcome_tokens")
+
+    @cached_property
+    def outcome_markers(self) -> tuple:
+        return self._rows("outcome_markers")
+
+    @cached_property
+    def declared(self) -> tuple:
+        return self._rows("declared")
+
+    @cached_property
+    def stops(self) -> tuple:
+        return self._rows("stops")
+
+    @cached_property
+    def instances(self) -> tuple:
+        return self._rows("instances")
+
+    @cached_property
+    def locations(self) -> tuple:
+        return tuple(r for p in self.packages for r in p.locations)
+
+    @cached_property
+    def formats(self) -> tuple:
+        return tuple(p.format for p in self.packages if p.format)
+
+    @cached_property
+    def hooks(self) -> tuple:
+        return tuple(p.echoed_source for p in self.packages if p.echoed_source)
 
     def revision_rank(self, marker: Marker) -> int:
         owner = next(p for p in self.packages if marker in p.markers)
