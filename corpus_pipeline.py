@@ -23,11 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more hold; a document that loses all its words to that goes with them."""
+    """Drops lines that ten documents or more hold. A document that loses all its lines stays, with an empty text."""
     ready(spark)
-    out = linededup.drop_frequent_lines(docs.select(*COLUMNS))
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]"))
-    kept = out.where((F.col("n_dropped") == 0) | (words > 0))
+    kept = linededup.drop_frequent_lines(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
