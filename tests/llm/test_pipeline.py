@@ -11,5 +11,5 @@ def test_stages(spark):
         kept[name] = docs.count()
         if name != "byte_bpe":
             assert docs.columns == columns
-    assert kept["language_id"] >= kept["line_dedup"] > kept["near_dedup"] > 0 and kept["mixing"] == kept["byte_bpe"]
+    assert kept["language_id"] == kept["line_dedup"] > kept["near_dedup"] > 0 and kept["mixing"] == kept["byte_bpe"]
     assert pipeline.run(spark, DATA).count() == kept["byte_bpe"]
