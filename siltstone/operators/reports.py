@@ -16,7 +16,7 @@ from ..functions.levels import LEVEL_WORDS, Line, lower
 from ..plans.packages import NO_RULES
 from ..plans.rules import Rules
 from ..plans.walkers import console_verdict, end_of, outcome_of_token, outcome_of_token_in, unit_of
-from .canonical import latin_lines, utf8, with_bytes
+from .canonical import canonicalize, latin_lines, projection, utf8, with_bytes
 from .stream import CELLS, Declaration, Reader, State
 
 
@@ -226,3 +226,15 @@ def unit_ends(events: DataFrame, rules: Rules = NO_RULES) -> DataFrame:
 def discriminant_column(names: pd.Series) -> pd.Series:
     """discriminant() of names given as UTF-8 text."""
     return names.map(lambda x: None if x is None else utf8(discriminant(x.encode().decode("latin-1"))))
+
+
+def arm_digests(lines: DataFrame, arms: Mapping[str, tuple[Rules, Declaration]]) -> DataFrame:
+    """(arm, stream_id, member, digest, events): digests() of the same lines read in the exact mode under several declarations."""
+    out = None
+    for name, (rules, declaration) in arms.items():
+        projected = projection(canonicalize(lines, rules, declaration, mode="stream"))
+        rows = digests(projected).select(F.lit(name).alias("arm"), "stream_id", "member", "digest", "events")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no arms")
+    return out

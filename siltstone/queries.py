@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns, lines
@@ -620,3 +620,29 @@ def document_lines(spark, sf_dir):
     rows = docs.select(F.col("doc_id").cast("string").alias("stream_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     events = canonical.canonicalize(rows)
     return events.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("no_event_reason").isNotNull()).alias("skipped"))
+
+
+@query("projection_digests_by_arm")
+def projection_digests_by_arm(spark, sf_dir):
+    """Digests of the same lines with no rules, and under each CI dialect; tests hold digests to hashlib."""
+    rules = all_rules()
+    arms = {"plain": (NO_RULES, Declaration()), "undeclared": (rules, Declaration())}
+    arms |= {"github": (rules, Declaration("github", "annotated", ("api-rfc3339-line-prefix",))), "gitlab": (rules, Declaration("gitlab")), "jenkins": (rules, Declaration("jenkins"))}
+    line = f"concat({_ISO_T}, '.1234567Z ', {_CI})"
+    return reports.arm_digests(event_lines(spark, sf_dir, line, "event_type"), arms)
+
+
+@query(
+    "template_comparison",
+    """WITH t AS (SELECT event_id % 2 AS run, 'user <*> did ' || event_type || CASE WHEN event_id % 7 = 0 THEN ' again' ELSE '' END AS template_str FROM events WHERE event_id % 14 <> 0),
+a AS (SELECT template_str, count(*) AS n FROM t WHERE run = 0 GROUP BY 1), b AS (SELECT template_str, count(*) AS n FROM t WHERE run = 1 GROUP BY 1)
+SELECT coalesce(a.template_str, b.template_str) AS template_str, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM a FULL JOIN b ON a.template_str = b.template_str""",
+)
+def template_comparison(spark, sf_dir):
+    """Two runs side by side, from one aggregation over both rather than a full join of two."""
+    rows = table(spark, sf_dir, "events").where("event_id % 14 <> 0").select(
+        (F.col("event_id") % 2).cast("string").alias("stream_id"), F.col("event_id").alias("line_no"), F.expr(f"concat({_SAID}, if(event_id % 7 = 0, ' again', ''))").alias("raw")
+    )
+    counts = reports.template_counts(canonical.canonicalize(rows), "stream_id").groupBy("template_str")
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("stream_id") == k, F.col("n"))), F.lit(0))
+    return counts.agg(side("0").alias("n_before"), side("1").alias("n_after"))
