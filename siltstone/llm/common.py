@@ -6,6 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,19 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending. Sorting is far faster than numpy's hashing unique()."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand in `known`, which is ascending."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names starting as `names` that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import among, distinct, table, text_bytes
 
 WINDOW = 13
 #: Text to a block, and nodes to a bucket, at which to aim.
@@ -107,7 +107,7 @@ class Words:
 
 def summarised(hashes: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes ascending, each one's neighbours (zero where they differ or one is zero), and how often it occurs."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     hashes, around = hashes[order], around[order]
     first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
     if not len(first):
@@ -166,12 +166,8 @@ def _shared(sketches: list[bytes]) -> list[bytes]:
     """For each sketch a bitmap of those of its hashes that another sketch has too."""
     own = [unpack_sorted(x) for x in sketches]
     whole = np.sort(np.concatenate(own))
-    more = np.unique(whole[1:][whole[1:] == whole[:-1]])
-    out = []
-    for x in own:
-        at = np.searchsorted(more, x)
-        out.append(np.packbits((at < len(more)) & (more[np.minimum(at, len(more) - 1)] == x) if len(more) else np.zeros(len(x), bool)).tobytes())
-    return out
+    more = distinct(whole[1:][whole[1:] == whole[:-1]])
+    return [np.packbits(among(x, more)).tobytes() for x in own]
 
 
 def _branching(ends: list[bytes]) -> list[bytes]:
@@ -179,7 +175,7 @@ def _branching(ends: list[bytes]) -> list[bytes]:
     parts = [np.frombuffer(x, "<u8").reshape(2, -1) for x in ends]
     nodes, around, _ = summarised(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
     branch = nodes[around == 0]
-    return [branch[np.isin(branch, p[0], assume_unique=True)].tobytes() for p in parts]
+    return [branch[among(branch, p[0])].tobytes() for p in parts]
 
 
 def repeated_paths(blocks: DataFrame, n_words: int, window: int = WINDOW, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
@@ -193,8 +189,7 @@ def repeated_paths(blocks: DataFrame, n_words: int, window: int = WINDOW, bucket
     texts = blocks.groupBy("block")
 
     def sketched(hashes: np.ndarray) -> np.ndarray:
-        cut_short = np.unique(hashes) >> short << short
-        return cut_short[np.concatenate(([True], cut_short[1:] != cut_short[:-1]))] if len(cut_short) else cut_short
+        return distinct(hashes >> short << short)
 
     def sketch(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         hashes = sketched(Words(text_bytes(rows["text"]), window).nodes()[1])
@@ -208,9 +203,7 @@ def repeated_paths(blocks: DataFrame, n_words: int, window: int = WINDOW, bucket
         answer = dict(zip(shared["bucket"].to_pylist(), shared["data"].to_pylist()))
         more = [short_hashes[s][np.unpackbits(np.frombuffer(answer[b], np.uint8), count=s.stop - s.start).astype(bool)] for b, s in _by_bucket(short_hashes, n_buckets)]
         more = np.concatenate([*more, np.zeros(0, np.uint64)])
-        own = hashes >> short << short
-        place = np.minimum(np.searchsorted(more, own), max(0, len(more) - 1))
-        known = more[place] == own if len(more) else np.zeros(len(own), bool)
+        known = among(hashes >> short << short, more)
         nodes, around, _ = summarised(hashes[known], words.neighbours(at[known]))
         sent = [{"bucket": b, "block": key[0].as_py(), "data": np.stack((nodes[s], around[s])).astype("<u8").tobytes()} for b, s in _by_bucket(nodes, n_buckets)]
         return pa.Table.from_pylist(sent, schema=_SENT_ARROW)
@@ -220,8 +213,7 @@ def repeated_paths(blocks: DataFrame, n_words: int, window: int = WINDOW, bucket
         at, hashes = words.nodes()
         nodes, around, times = summarised(hashes, words.neighbours(at))
         told = np.concatenate([*(np.frombuffer(x, "<u8") for x in branching["data"].to_pylist()), np.zeros(0, np.uint64)])
-        branch = np.union1d(nodes[(around == 0) & (times > 1)], told)
-        cuts = np.isin(hashes, branch)
+        cuts = among(hashes, distinct(np.concatenate((nodes[(around == 0) & (times > 1)], told))))
         # Edges begin at nodes that aren't the document's last; a path begins at a branching node or a document's first.
         edge = at + window <= words.first[words.doc[at] + 1]
         start, cut_here = at[edge], cuts[edge]
