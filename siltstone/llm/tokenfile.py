@@ -17,6 +17,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ from .common import cut, partitions, shared_dir, table, text_bytes
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 MAGIC, HEAD = b"SILTIDS1", struct.Struct("<8s5Q")
 #: Ids to a file at most, unless one document has more; runs to a generation of those remembered, and the longest of them.
-FILE_IDS, CACHE, CACHE_LEN = 8_000_000, 250_000, 48
+FILE_IDS, CACHE, CACHE_LEN = 8_000_000, 400_000, 48
 #: Marks that are a pre-token of their own behind a letter.
 MARKS = ".,;:!?"
 #: The lengths of the four ranks behind each control byte.
@@ -84,7 +85,7 @@ class WordTokenizer:
             text = run.decode("utf-8", "replace")
             core = text[:-1] if text[-1] in MARKS else text
             if core.isalpha() and (core.isascii() or max(core) <= "\u017f" and "\u0130" not in core):
-                ids = self._letters(core.lower())
+                ids = self._letters(core if core.islower() else core.lower())
                 if core is not text:
                     mark = run[-1:]
                     ids += self.young.get(mark) or self._run(mark)
@@ -103,8 +104,12 @@ class WordTokenizer:
             runs = text.split()
             ids = list(map(self.young.get, runs))
             if None in ids:
-                young = self.young
-                ids = [x if x is not None else young.get(w) or run_ids(w) for w, x in zip(runs, ids)]
+                young, at, index = self.young, -1, ids.index
+                with suppress(ValueError):  # index() finds no more
+                    while True:
+                        at = index(None, at + 1)
+                        w = runs[at]
+                        ids[at] = young.get(w) or run_ids(w)
             out.append(b"".join(ids))
         return out
 
@@ -174,31 +179,38 @@ def frequency_ranks(packed: DataFrame) -> np.ndarray:
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of `ranks`."""
-    ranks = np.asarray(ranks, np.int64)
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks = np.asarray(ranks).astype("<u4")
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = size - 1
+    for least in (1 << 8, 1 << 16, 1 << 24):
+        codes[: len(ranks)] += ranks >= least
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    own = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), own[np.arange(4) < size[:, None]].tobytes()
+    size = codes[: len(ranks)] + np.uint8(1)
+    ends = np.cumsum(size, dtype=np.int64)
+    at, own = ends - size, ranks.view(np.uint8).reshape(-1, 4)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[at] = own[:, 0]
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        out[at[more] + k] = own[more, k]
+    return control.tobytes(), out.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The `n` ranks behind `control` and `data`, by table lookup."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = raw[at].astype(np.int64)
+    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    at = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
         more = np.flatnonzero(size > k)
-        out[more] |= raw[at[more] + k].astype(np.int64) << 8 * k
+        out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray], ranked: np.ndarray) -> bytes:
     """A file of these documents; `ranked` has the ids in order of rank."""
     whole = np.concatenate([*ids, np.zeros(0, np.uint16)])
-    rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.int64)
+    rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     control, data = encode_ranks(rank_of[whole])
     head = HEAD.pack(MAGIC, len(ranked), len(doc_ids), len(whole), len(control), len(data))
