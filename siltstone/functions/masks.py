@@ -51,6 +51,9 @@ _EXTENT = re.compile(r"(?:<\*>|[0-9A-Za-z._+%~-]|[,:/](?=[0-9]|<\*>))*")
 _TAIL_ONLY = re.compile(rf"{TAIL_SET}*\Z")
 
 
+#: Numbers, and numbers under a key, too short for a hash: what most tokens that vary are.
+_BARE = re.compile(r"[0-9]{1,15}\Z")
+_BARE_VALUE = re.compile(r"([A-Za-z_]{1,15})=[0-9]{1,15}\Z")
 #: Tokens whose forms a masker remembers.
 REMEMBERED = 50_000
 
@@ -529,6 +532,10 @@ class Masker:
         """What a token becomes; `before` is the token before it. Forms that don't hang on that are remembered."""
         if is_status_word(before):
             return self._form(token, before)
+        if _BARE.match(token) and not (self.runs or self.values):
+            return WILDCARD
+        if (m := _BARE_VALUE.match(token)) and not (self.runs or self.values or is_status_word(m[1])):
+            return f"{m[1]}={WILDCARD}"
         form = self.seen.get(token)
         if form is None:
             form = self._form(token, "")

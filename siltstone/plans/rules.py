@@ -273,6 +273,15 @@ class Rules:
     def roles(self) -> tuple:
         return self._rows("roles")
 
+    @cached_property
+    def role_heads(self) -> tuple[str, ...]:
+        """What a content must begin with for any role."""
+        return tuple({r.prefix.partition(HOLE)[0] if r.shape else r.prefix for r in self.roles})
+
+    @cached_property
+    def lift_heads(self) -> tuple[str, ...]:
+        return tuple(r.prefix for r in self.lifts)
+
     @cached_property
     def markers(self) -> tuple:
         return self._rows("markers")

@@ -244,3 +244,23 @@ def test_projection_cells():
     event = Reader().read("a|b\tc 12", State())[0]
     cells = project(event)
     assert cells[8] == r"a\|b\tc <*>" and cells[9] == "1|12" and cells[0] == "0" and cells[11] == "0,0,0,0,0,0"
+
+
+def test_decoder_and_member_reader_agree():
+    """Whole JSON and the same members read one by one say the same."""
+    rng = random.Random(7)
+    names = ["message", "msg", "level", "a.level", "latency_ms", "x", "service", "timeUnixNano", "b.c.d", ""]
+
+    def value(depth):
+        pick = rng.randrange(7 if depth else 5)
+        plain = [f'"{rng.choice(["m", "warn", "caf\xc3\xa9", "q\\\"q", ""])}"', str(rng.randrange(99)), "-1.5e3", "true", "null"]
+        if pick < 5:
+            return plain[pick]
+        return "[1,{}]" if pick == 6 else "{" + ",".join(f'"{rng.choice(names)}" : {value(0)}' for _ in range(rng.randrange(3))) + "}"
+
+    for _ in range(2000):
+        text = " {" + ", ".join(f'"{rng.choice(names)}":{value(1)}' for _ in range(rng.randrange(6))) + "}"
+        by_member = records._branches(text, records.members(text))
+        whole = records.tree(text)
+        flat = lambda own: [(n, k, [(a, b) for a, b in v if isinstance(b, str) and not isinstance(b, records._Number)] if k == "object" else v) for n, k, v in own if k != "array"]
+        assert flat(whole) == flat(by_member)
