@@ -10,8 +10,10 @@ Work is in blocks of whole documents, dealt by a hash of the doc_id; one exchang
   1. sketch: each block sends its distinct node hashes, cut short, sorted and packed; buckets answer which of them
      another block has too. That spares sending what stands in one block alone.
   2. ends: each block sends (node, neighbours) of the shared nodes; buckets answer which of them branch.
-  3. paths: each block cuts its documents at branching nodes and emits the paths that begin at one.
-  4. joins: paths meet their source; those with a source in a smaller doc_id cover words, which go.
+  3. paths: each block cuts its documents at branching nodes and emits the distinct paths that begin at one, with their
+     least coordinate in the block. So a passage that many documents share is a row to each block, not to each document.
+  4. sources: the blocks' rows of a path meet, and each block learns the least coordinate of all.
+  5. cover: each block cuts its documents again; paths with a source in a smaller doc_id cover words, which go.
 Hashes are vectors: with powers of an odd base, a span's hash is a difference of running sums, divided by a power.
 """
 
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, distinct, table, text_bytes
@@ -149,10 +151,54 @@ def _by_bucket(hashes: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]
 
 _SENT = "bucket long, block long, data binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
-_PATHS = "block long, doc_id long, text_key long, start long, n_edges long, edge long, path_hash long"
+_PATHS = "block long, edge long, path_hash long, doc_id long, start long"
 _PATHS_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in _PATHS.split(", ")])
 
 
+class Paths:
+    """The compacted paths of a block's documents that begin at a branching node, an occurrence a row.
+
+    `doc` is the place of the document in the block, `start` counts its words, `length` the path's edges; `edge` and
+    `whole` are hashes of the first edge and of all words. `told` are nodes that branch over all blocks.
+    """
+
+    def __init__(self, words: Words, told: np.ndarray) -> None:
+        window = words.window
+        at, hashes = words.nodes()
+        nodes, around, times = summarised(hashes, words.neighbours(at))
+        cuts = among(hashes, distinct(np.concatenate((nodes[(around == 0) & (times > 1)], told))))
+        # Edges begin at nodes that aren't the document's last; a path begins at a branching node or a document's first.
+        edge = at + window <= words.first[words.doc[at] + 1]
+        start, cut_here = at[edge], cuts[edge]
+        head = np.flatnonzero(cut_here | (start == words.first[words.doc[start]]))
+        length = np.diff(np.append(head, len(start)))
+        head, self.length = head[cut_here[head]], length[cut_here[head]]
+        begin = start[head]
+        self.doc = words.doc[begin]
+        self.start = begin - words.first[self.doc]
+        self.edge = span_hashes(words.hashes, begin, begin + window, _BASES[0]).view(np.int64)
+        self.whole = span_hashes(words.hashes, begin, begin + window - 1 + self.length, _BASES[1]).view(np.int64)
+
+    def least(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, first): rows by path, id and start, and where in that order each path begins."""
+        order = np.lexsort((self.start, ids[self.doc], self.whole, self.edge))
+        edge, whole = self.edge[order], self.whole[order]
+        new = np.concatenate(([True], (edge[1:] != edge[:-1]) | (whole[1:] != whole[:-1]))) if len(order) else np.zeros(0, bool)
+        return order, np.flatnonzero(new)
+
+
+#: Stands for a null doc_id, which is no source.
+_NO_ID = np.int64((1 << 63) - 1)
+
+
+def _ids(rows: pa.Table) -> np.ndarray:
+    return rows["doc_id"].fill_null(int(_NO_ID)).to_numpy()
+
+
+def _told(blobs: list[bytes | None]) -> np.ndarray:
+    return np.concatenate([*(np.frombuffer(x, "<u8") for x in blobs if x), np.zeros(0, np.uint64)])
+
+
 def _answers(sent: DataFrame, judge: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """(block, bucket, data): for each bucket the answers of `judge` to what the blocks sent it."""
 
@@ -178,11 +224,9 @@ def _branching(ends: list[bytes]) -> list[bytes]:
     return [branch[among(branch, p[0])].tobytes() for p in parts]
 
 
-def repeated_paths(blocks: DataFrame, n_words: int, window: int = WINDOW, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
-    """Compacted paths of `blocks` (block, doc_id, text_key, text) that may stand elsewhere too, an occurrence a row.
-
-    start and n_edges say which windows of the document the path has; edge and path_hash are its identity.
-    """
+def _sourced(blocks: DataFrame, n_words: int, window: int, bucket_nodes: int) -> DataFrame:
+    """(block, data, edge, path_hash, doc_id, start): what each block is told of its branching nodes (data) and of the
+    least coordinate of each path that another block has too."""
     n_buckets = 1 << max(0, math.ceil(math.log2(max(1, n_words / bucket_nodes))))
     kept_bits = min(64, max(40, n_words.bit_length() + SPARE))
     short = np.uint64(64 - kept_bits)
@@ -209,57 +253,77 @@ def repeated_paths(blocks: DataFrame, n_words: int, window: int = WINDOW, bucket
         return pa.Table.from_pylist(sent, schema=_SENT_ARROW)
 
     def paths(key: tuple[pa.Scalar, ...], rows: pa.Table, branching: pa.Table) -> pa.Table:
-        words = Words(text_bytes(rows["text"]), window)
-        at, hashes = words.nodes()
-        nodes, around, times = summarised(hashes, words.neighbours(at))
-        told = np.concatenate([*(np.frombuffer(x, "<u8") for x in branching["data"].to_pylist()), np.zeros(0, np.uint64)])
-        cuts = among(hashes, distinct(np.concatenate((nodes[(around == 0) & (times > 1)], told))))
-        # Edges begin at nodes that aren't the document's last; a path begins at a branching node or a document's first.
-        edge = at + window <= words.first[words.doc[at] + 1]
-        start, cut_here = at[edge], cuts[edge]
-        head = np.flatnonzero(cut_here | (start == words.first[words.doc[start]]))
-        length = np.diff(np.append(head, len(start)))
-        head, length = head[cut_here[head]], length[cut_here[head]]
-        begin = start[head]
-        doc = words.doc[begin]
-        edges = span_hashes(words.hashes, begin, begin + window, _BASES[0])
-        whole = span_hashes(words.hashes, begin, begin + window - 1 + length, _BASES[1])
-        ids = rows["doc_id"].combine_chunks().take(pa.array(doc)), rows["text_key"].combine_chunks().take(pa.array(doc))
-        block = pa.array(np.full(len(doc), key[0].as_py()), pa.int64())
-        columns = [block, *ids, *(pa.array(x.astype(np.int64)) for x in (begin - words.first[doc], length)), *(pa.array(x.view(np.int64)) for x in (edges, whole))]
-        return pa.Table.from_arrays(columns, schema=_PATHS_ARROW)
+        own, ids = Paths(Words(text_bytes(rows["text"]), window), _told(branching["data"].to_pylist())), _ids(rows)
+        order, first = own.least(ids)
+        best = order[first]
+        best = best[ids[own.doc[best]] != _NO_ID]
+        columns = [np.full(len(best), key[0].as_py()), own.edge[best], own.whole[best], ids[own.doc[best]], own.start[best]]
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_PATHS_ARROW)
 
     shared = _answers(texts.applyInArrow(sketch, _SENT), _shared)
     sent = texts.cogroup(shared.groupBy("block")).applyInArrow(ends, _SENT)
-    branching = _answers(sent, _branching).groupBy("block")
-    return texts.cogroup(branching).applyInArrow(paths, _PATHS)
-
-
-def with_sources(paths: DataFrame) -> DataFrame:
-    """`paths` with source_doc_id and source_start, the least of each path's occurrences; paths that occur once are left out."""
-    key = ["edge", "path_hash"]
-    source = F.min(F.struct("doc_id", "start")).alias("source")
-    sources = paths.where("doc_id IS NOT NULL").groupBy(*key).agg(source, F.count(F.lit(1)).alias("times")).where("times > 1")
-    joined = paths.join(sources, key)
-    return joined.select(*paths.columns, F.col("source.doc_id").alias("source_doc_id"), F.col("source.start").alias("source_start"))
+    branching = _answers(sent, _branching).select("block", "data")
+    found = texts.cogroup(branching.groupBy("block")).applyInArrow(paths, _PATHS)
+    same = Window.partitionBy("edge", "path_hash")
+    source = F.min(F.struct("doc_id", "start")).over(same)
+    met = found.select("block", "edge", "path_hash", source.alias("source"), F.count(F.lit(1)).over(same).alias("n")).where("n > 1")
+    sources = met.select("block", F.lit(None).cast("binary").alias("data"), "edge", "path_hash", "source.doc_id", "source.start")
+    none = [F.lit(None).cast("long").alias(c) for c in ("edge", "path_hash", "doc_id", "start")]
+    return branching.select("block", "data", *none).unionByName(sources)
+
+
+class _Cover:
+    """The occurrences of a block's paths, each with its source: the least (doc_id, start) in this block or another."""
+
+    def __init__(self, rows: pa.Table, told: pa.Table, window: int) -> None:
+        self.ids = _ids(rows)
+        own = self.paths = Paths(Words(text_bytes(rows["text"]), window), _told(told["data"].to_pylist()))
+        order, first = own.least(self.ids)
+        times = np.diff(np.append(first, len(order)))
+        best = order[first]
+        source, start = self.ids[own.doc[best]], own.start[best].copy()
+        self.times = times.copy()
+        known = told.filter(told["data"].is_null())
+        edge, whole, doc, at = (known[c].to_numpy() for c in ("edge", "path_hash", "doc_id", "start"))
+        by = np.lexsort((whole, edge))
+        keys = {k: i for i, k in enumerate(zip(own.edge[best].tolist(), own.whole[best].tolist()))} if len(by) else {}
+        for i in by.tolist():
+            j = keys[int(edge[i]), int(whole[i])]
+            self.times[j] += 1
+            if (doc[i], at[i]) < (source[j], start[j]):
+                source[j], start[j] = doc[i], at[i]
+        of = np.repeat(np.arange(len(first)), times)
+        back = np.empty(len(order), np.int64)
+        back[order] = of
+        self.source, self.source_start, self.times = source[back], start[back], self.times[back]
 
 
 def blocked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
-    """(block, doc_id, text_key, text) of `docs` in blocks of about `block_chars`, and a bound on the number of words."""
+    """(block, doc_id, text) of `docs` in blocks of about `block_chars`, and a bound on the number of words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     block = F.pmod(F.xxhash64(id_col), F.lit(max(1, chars // block_chars)))
-    return docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")), chars // 2 + 1
+    return docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), chars // 2 + 1
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """(doc_id, start, n_words, source_doc_id, source_start): each compacted path of `docs` that occurs more than once.
 
     start counts words from 0. An occurrence that is its path's source names itself.
     """
     blocks, n_words = blocked(docs, block_chars=block_chars)
-    spans = with_sources(repeated_paths(blocks, n_words, window))
-    return spans.select("doc_id", "start", (F.col("n_edges") + (window - 1)).alias("n_words"), "source_doc_id", "source_start")
+
+    def spans(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+        cover = _Cover(rows, told, window)
+        own, again = cover.paths, cover.times > 1
+        columns = [cover.ids[own.doc], own.start, own.length + (window - 1), cover.source, cover.source_start]
+        names = ["doc_id", "start", "n_words", "source_doc_id", "source_start"]
+        return pa.table([pa.array(x[again], pa.int64()) for x in columns], names=names)
+
+    told = _sourced(blocks, n_words, window, bucket_nodes)
+    schema = "doc_id long, start long, n_words long, source_doc_id long, source_start long"
+    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(spans, schema)
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(int(_NO_ID))) for c in ("doc_id", "source_doc_id")})
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
@@ -271,28 +335,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_chars: int = BLO
     empty one. Other columns of `docs` are left out.
     """
     blocks, n_words = blocked(docs, block_chars=block_chars)
-    spans = with_sources(repeated_paths(blocks, n_words, window, bucket_nodes)).where("source_doc_id < doc_id")
 
-    def clean(key: tuple[pa.Scalar, ...], rows: pa.Table, spans: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for doc, text, start, n in zip(*(spans[c].to_pylist() for c in ("doc_id", "text_key", "start", "n_edges"))):
-            by.setdefault((doc, text), []).append((start, start + n + window - 1))
+    def clean(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+        cover = _Cover(rows, told, window)
+        own = cover.paths
+        gone_at = np.flatnonzero((cover.source < cover.ids[own.doc]) & (cover.ids[own.doc] != _NO_ID))
+        gone_at = gone_at[np.argsort(own.doc[gone_at], kind="stable")]
+        starts, stops = own.start[gone_at], own.start[gone_at] + own.length[gone_at] + window - 1
+        edges = np.searchsorted(own.doc[gone_at], np.arange(rows.num_rows + 1)).tolist()
         kept, total, gone = [], [], []
-        for doc, key_, text in zip(rows["doc_id"].to_pylist(), rows["text_key"].to_pylist(), text_bytes(rows["text"])):
+        for k, text in enumerate(text_bytes(rows["text"])):
             words = text.split()
             total.append(len(words))
-            if own := by.get((doc, key_)):
+            if edges[k] < edges[k + 1]:
                 turn = np.zeros(len(words) + 1, np.int64)
-                np.add.at(turn, [a for a, _ in own], 1)
-                np.add.at(turn, [b for _, b in own], -1)
+                np.add.at(turn, starts[edges[k] : edges[k + 1]], 1)
+                np.add.at(turn, stops[edges[k] : edges[k + 1]], -1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(turn[:-1]) == 0).tolist()]
             gone.append(total[-1] - len(words))
             kept.append(b" ".join(words))
         texts = pa.chunked_array([pa.array(kept, pa.binary()).cast(pa.string())])
         return pa.table({"doc_id": rows["doc_id"], "text": texts, "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())})
 
-    found = spans.select("block", "doc_id", "text_key", "start", "n_edges").groupBy("block")
-    return blocks.groupBy("block").cogroup(found).applyInArrow(clean, "doc_id long, text string, n_words long, n_removed long")
+    told = _sourced(blocks, n_words, window, bucket_nodes).groupBy("block")
+    return blocks.groupBy("block").cogroup(told).applyInArrow(clean, "doc_id long, text string, n_words long, n_removed long")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
