@@ -180,14 +180,13 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, query_rows: int = Q
     query at most, and the best k of those are the result.
     """
     index = cut(index)
-    n_blocks = index.count()
+    last = index.agg(F.max("block")).first()[0]
     n_packs = max(1, -(-queries.count() // query_rows))
-    if not n_blocks:
+    if last is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pack = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_packs))
     packs = queries.groupBy(pack.alias("pack")).agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))
-    blocks = [r.block for r in index.select("block").collect()]  # one number to a block
-    packs = packs.select(F.explode(F.array(*map(F.lit, blocks)).cast("array<long>")).alias("block"), F.pmod("pack", F.lit(WAYS)).cast("long").alias("way"), "queries")
+    packs = packs.select(F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<long>")).alias("block"), F.pmod("pack", F.lit(WAYS)).cast("long").alias("way"), "queries")
     dealt = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)).cast("array<long>")).alias("way"))
     met = packs.join(dealt, ["block", "way"]).select("block", "queries", "dims", "bits", "n", "ids", "lows", "slices")
 
