@@ -54,7 +54,8 @@ _TAIL_ONLY = re.compile(rf"{TAIL_SET}*\Z")
 #: Numbers, and numbers under a key, too short for a hash: what most tokens that vary are.
 _BARE = re.compile(r"[0-9]{1,15}\Z")
 _BARE_VALUE = re.compile(r"([A-Za-z_]{1,15})=[0-9]{1,15}\Z")
-#: Tokens whose forms a masker remembers.
+_DIGIT = re.compile("[0-9]")
+#: Tokens, and lines without a digit, whose forms a masker remembers.
 REMEMBERED = 50_000
 
 
@@ -521,6 +522,7 @@ class Masker:
     def __init__(self, runs: Sequence[DeclaredRun] = (), values: Sequence[InstanceValue] = ()) -> None:
         self.runs, self.values = tuple(runs), tuple(values)
         self.seen: dict[str, str] = {}
+        self.lines: dict[str, tuple[str, list[str]]] = {}
 
     def _steps(self, form: str) -> str:
         form = _segments(instance_spans(form)[0])
@@ -575,6 +577,17 @@ class Masker:
 
     def template(self, content: str) -> tuple[str, list[str]]:
         """(template, params): tokens joined by one space; a token that goes whole is a param, in order."""
+        constant = len(content) <= 200 and not _DIGIT.search(content)
+        if constant and (known := self.lines.get(content)):
+            return known
+        out = self._template(content)
+        if constant:
+            if len(self.lines) >= REMEMBERED:
+                self.lines.clear()
+            self.lines[content] = out
+        return out
+
+    def _template(self, content: str) -> tuple[str, list[str]]:
         line = member_order(content) if content.lstrip(" \t\r\n")[:1] in ("{", "[") else content
         line, quote = self._line_value(line)
         argument = next((v for v in self.values if v.form == "argument" and line.startswith(v.prefix)), None)
