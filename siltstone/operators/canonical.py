@@ -60,6 +60,14 @@ EVENT_ARROW = pa.schema(
 )
 
 
+def _trace(t: records.Trace) -> dict:
+    return vars(t) | {k: Decimal(getattr(t, k)) for k in ("trace_id", "span_id", "parent_span_id")}
+
+
+_NO_TRACE = records.Trace()
+_NO_TRACE_ROW = _trace(_NO_TRACE)
+
+
 def utf8(latin: str) -> str:
     """Latin-1 text back as UTF-8; each ill-formed part becomes U+FFFD."""
     return latin if latin.isascii() else latin.encode("latin-1").decode("utf-8", "replace")
@@ -84,7 +92,7 @@ def event_row(stream: str, line_no: int, event: Event | None, reason: str, state
         "template_str": utf8(event.template),
         "params": [utf8(x) for x in event.params],
         "structural_role": event.role,
-        "trace": vars(t) | {k: Decimal(getattr(t, k)) for k in ("trace_id", "span_id", "parent_span_id")},
+        "trace": _trace(t) if t != _NO_TRACE else _NO_TRACE_ROW,
         "ordinals": [dict(zip(("field_name", "schedule", "value"), o)) for o in p.ordinals],
         "linked_span_ids": [Decimal(x) for x in p.linked_span_ids],
         "echoed_source": p.echoed_source,

@@ -16,6 +16,7 @@ from functools import cache, cached_property
 
 from ..functions.formats import Format
 from ..functions.masks import DeclaredRun, InstanceValue
+from ..session import logger
 
 #: Generations of the rules that results must agree with, and of the rows' grammar.
 CANONICALIZATION, GRAMMAR = "stateless-masks-20", "semantic-grammar-9"
@@ -399,4 +400,6 @@ def compose(*packages: Package) -> Rules:
         for p in ordered
     )
     said = json.dumps([GRAMMAR, *map(_plain, extended)], sort_keys=True).encode()
-    return Rules(extended, hashlib.sha256(said).hexdigest()[:32], notes=_shadows(extended))
+    rules = Rules(extended, hashlib.sha256(said).hexdigest()[:32], notes=_shadows(extended))
+    logger("rules").info("composed %d packages, %d shadows noted", len(extended), len(rules.notes))
+    return rules

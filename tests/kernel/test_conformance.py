@@ -24,3 +24,15 @@ def test_differences():
     assert conformance.differences(github, github) == []
     other = replace(jenkins, version="9", outcome_markers=(OutcomeMarker("End: ", "jenkins"),))
     assert len(conformance.differences(jenkins, other)) == 3
+
+
+def test_loggers(caplog):
+    from siltstone.plans.rules import compose
+    from siltstone.session import init_logging, logger
+
+    init_logging("INFO")
+    with caplog.at_level("INFO", "siltstone"):
+        compose(github)
+    assert "1 packages" in caplog.text
+    with pytest.raises(ValueError, match="no logger"):
+        logger("x")
