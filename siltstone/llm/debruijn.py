@@ -33,7 +33,7 @@ WINDOW = 13
 #: Text to a block, and nodes to a bucket, at which to aim.
 BLOCK_CHARS, BUCKET_NODES = 4_000_000, 4_000_000
 #: Bits of a sketched hash beyond those that count all words: one node in 2^SPARE is sent for nothing.
-SPARE = 13
+SPARE = 11
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -98,11 +98,11 @@ class Words:
         return at, span_hashes(self.hashes, at, at + size, _BASES[0])
 
     def neighbours(self, at: np.ndarray) -> np.ndarray:
-        """A hash of the words around each node; zero where the document begins or ends there."""
+        """A hash, of 48 bits, of the words around each node; zero where the document begins or ends there."""
         behind = at + self.window - 1
         inside = (at > self.first[self.doc[at]]) & (behind < self.first[self.doc[at] + 1])
         before, after = self.hashes[np.maximum(at - 1, 0)], self.hashes[np.minimum(behind, len(self.hashes) - 1)]
-        out = _mix(before * np.uint64(_BASES[1]) + _mix(after + np.uint64(_BASES[0])))
+        out = _mix(before * np.uint64(_BASES[1]) + _mix(after + np.uint64(_BASES[0]))) >> np.uint64(16)
         out[out == 0] = 1
         return np.where(inside, out, np.uint64(0))
 
@@ -141,6 +141,21 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(wide, dtype=np.uint64)
 
 
+def pack_ends(nodes: np.ndarray, around: np.ndarray) -> bytes:
+    """Ascending node hashes and what is around each, in 6 bytes."""
+    packed = pack_sorted(nodes)
+    return len(packed).to_bytes(4, "little") + packed + around.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What pack_ends() packed."""
+    end = 4 + int.from_bytes(data[:4], "little")
+    nodes = unpack_sorted(data[4:end])
+    wide = np.zeros((len(nodes), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8, offset=end).reshape(-1, 6)
+    return nodes, wide.view("<u8").reshape(-1)
+
+
 def _by_bucket(hashes: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
     """(bucket, where its hashes stand) of ascending hashes; buckets are their leading bits."""
     bucket = (hashes >> np.uint64(64 - n_buckets.bit_length() + 1)).astype(np.int64) if n_buckets > 1 else np.zeros(len(hashes), np.int64)
@@ -218,7 +233,7 @@ def _shared(sketches: list[bytes]) -> list[bytes]:
 
 def _branching(ends: list[bytes]) -> list[bytes]:
     """For each block's (node, neighbours) the nodes that branch over all blocks."""
-    parts = [np.frombuffer(x, "<u8").reshape(2, -1) for x in ends]
+    parts = [unpack_ends(x) for x in ends]
     nodes, around, _ = summarised(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
     branch = nodes[around == 0]
     return [branch[among(branch, p[0])].tobytes() for p in parts]
@@ -228,7 +243,7 @@ def _sourced(blocks: DataFrame, n_words: int, window: int, bucket_nodes: int) ->
     """(block, data, edge, path_hash, doc_id, start): what each block is told of its branching nodes (data) and of the
     least coordinate of each path that another block has too."""
     n_buckets = 1 << max(0, math.ceil(math.log2(max(1, n_words / bucket_nodes))))
-    kept_bits = min(64, max(40, n_words.bit_length() + SPARE))
+    kept_bits = min(64, max(32, n_words.bit_length() + SPARE))
     short = np.uint64(64 - kept_bits)
     texts = blocks.groupBy("block")
 
@@ -249,7 +264,7 @@ def _sourced(blocks: DataFrame, n_words: int, window: int, bucket_nodes: int) ->
         more = np.concatenate([*more, np.zeros(0, np.uint64)])
         known = among(hashes >> short << short, more)
         nodes, around, _ = summarised(hashes[known], words.neighbours(at[known]))
-        sent = [{"bucket": b, "block": key[0].as_py(), "data": np.stack((nodes[s], around[s])).astype("<u8").tobytes()} for b, s in _by_bucket(nodes, n_buckets)]
+        sent = [{"bucket": b, "block": key[0].as_py(), "data": pack_ends(nodes[s], around[s])} for b, s in _by_bucket(nodes, n_buckets)]
         return pa.Table.from_pylist(sent, schema=_SENT_ARROW)
 
     def paths(key: tuple[pa.Scalar, ...], rows: pa.Table, branching: pa.Table) -> pa.Table:

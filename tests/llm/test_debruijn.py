@@ -52,3 +52,6 @@ def test_packing():
         for top in (300, 1 << 40, (1 << 64) - 1):
             values = np.unique(rng.integers(0, top, n, np.uint64))
             assert debruijn.unpack_sorted(debruijn.pack_sorted(values)).tolist() == values.tolist()
+            around = rng.integers(0, 1 << 48, len(values), np.uint64)
+            nodes, back = debruijn.unpack_ends(debruijn.pack_ends(values, around))
+            assert nodes.tolist() == values.tolist() and back.tolist() == around.tolist()
