@@ -77,6 +77,14 @@ class LineRuns:
         return lines
 
 
+    def ingest(self, lines: DataFrame) -> DataFrame:
+        """The rows of a batch whose key no earlier batch had, as an incremental feed keeps them; the batch joins the runs."""
+        lines = cut(lines)
+        new = cut(self.unseen(lines))
+        self.add(lines)
+        return new
+
+
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, key_hash): each distinct line key of each row of `docs`."""
     id_type = docs.schema[id_col].dataType.simpleString()

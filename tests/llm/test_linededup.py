@@ -33,3 +33,13 @@ def test_levels_and_anti_join(docs):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     known = {bytes(r.key_hash) for r in lines.where("doc_id is not null").collect()}
     assert {bytes(r.key_hash) for r in runs.unseen(lines).collect()} == {bytes(r.key_hash) for r in lines.collect()} - known
+
+
+def test_incremental_feed(docs):
+    lines, runs, seen = document_lines(docs.where("doc_id IS NOT NULL")).cache(), LineRuns(fanout=2), set()
+    for k in range(3):
+        batch = lines.where(f"pmod(doc_id, 3) = {k}")
+        own = {bytes(r.key_hash) for r in batch.collect()}
+        assert {bytes(r.key_hash) for r in runs.ingest(batch).collect()} == own - seen
+        seen |= own
+    assert sum(r.count() for r in runs.runs()) >= len(seen)
