@@ -21,7 +21,7 @@ from .grams import code_points, gram_buckets
 from .langid import fold, sampled
 
 #: Sizes of grams; bits of a bucket; buckets kept; rows of a class to train on; the regression's penalty and steps.
-SIZES, BITS, KEPT, PER_CLASS, PENALTY, STEPS = (3, 4, 5, 6), 20, 4000, 5000, 1e-3, 150
+SIZES, BITS, KEPT, PER_CLASS, PENALTY, STEPS = (3, 4, 5, 6), 20, 3000, 5000, 1e-4, 400
 THRESHOLD = 0.7
 
 
@@ -81,19 +81,23 @@ def log_count_ratios(labelled: DataFrame, bits: int = BITS, kept: int = KEPT) ->
 
 def train_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression over presence times `scale`, by accelerated descent."""
+    n = max(1, len(rows))
     at, of = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     x = scale[at]
-    norm = max(1e-9, float(np.bincount(of, x * x, len(rows)).max(initial=0.0)))
-    rate = 4 / (norm + 1)
-    w, bias = np.zeros(len(scale)), 0.0
-    ahead, ahead_bias, t = w.copy(), bias, 1.0
-    n = max(1, len(rows))
+    forward = lambda w, bias: np.bincount(of, w[at] * x, len(rows)) + bias
+    backward = lambda e: (np.bincount(at, e[of] * x, len(scale)), e.sum())
+    # The step follows from the largest eigenvalue of the loss's bound, found by powers.
+    v, v_bias, largest = np.ones(len(scale)), 1.0, 1.0
+    for _ in range(15):
+        size = float(np.sqrt(v @ v + v_bias**2)) or 1.0
+        v, v_bias = backward(forward(v / size, v_bias / size) / n)
+        largest = float(np.sqrt(v @ v + v_bias**2))
+    step = 1 / (largest / 4 * 1.1 + penalty)
+    w, bias, ahead, ahead_bias, t = np.zeros(len(scale)), 0.0, np.zeros(len(scale)), 0.0, 1.0
     for _ in range(steps):
-        z = np.bincount(of, ahead[at] * x, len(rows)) + ahead_bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        step = rate * n / max(1.0, n**0.5)
-        new = ahead - step * (np.bincount(at, error[of] * x, len(scale)) + penalty * ahead / n)
-        new_bias = ahead_bias - step * error.sum()
+        error = (1 / (1 + np.exp(-np.clip(forward(ahead, ahead_bias), -30, 30))) - y) / n
+        down, down_bias = backward(error)
+        new, new_bias = ahead - step * (down + penalty * ahead), ahead_bias - step * down_bias
         next_t = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, ahead_bias = new + (t - 1) / next_t * (new - w), new_bias + (t - 1) / next_t * (new_bias - bias)
         w, bias, t = new, new_bias, next_t
