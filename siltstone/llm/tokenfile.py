@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import cut, partitions, shared_dir, table, text_bytes
+from .common import cut, partitions, shared_dir, stored, table, text_bytes
 
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 MAGIC, HEAD = b"SILTIDS1", struct.Struct("<8s5Q")
@@ -242,7 +242,7 @@ def write_token_files(ids: DataFrame, folder: str | None = None, file_ids: int =
     """
     spark = ids.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    packed = cut(_narrow(ids) if "ids" in ids.columns else ids)
+    packed = stored(_narrow(ids) if "ids" in ids.columns else ids)
     ranked = frequency_ranks(packed)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
