@@ -21,7 +21,7 @@ from .common import extended, fresh, table
 from .grams import code_points, gram_buckets, letters
 
 #: Labelled rows to train on: of a language, and in all. Bits of a bucket. Passes and cost of the machines.
-PER_LANGUAGE, SAMPLE_ROWS, BITS, EPOCHS, COST = 400, 6000, 12, 12, 4.0
+PER_LANGUAGE, SAMPLE_ROWS, BITS, EPOCHS, COST = 400, 4000, 12, 12, 4.0
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code; a code that isn't here is a family of its own.
 FAMILIES = {
