@@ -3,7 +3,7 @@
 `lines` is a DataFrame (stream_id, line_no, raw): raw is binary, or text, which is taken as UTF-8. Reading a line is one
 pass of an Arrow kernel, so bytes cross to Python once; what comes before and behind are built-in expressions.
 
-Two modes. `stateless` routes every line by itself: nothing is shuffled, time stamps without a year stay open and there are
+Three modes. `stateless` routes every line by itself: nothing is shuffled, time stamps without a year stay open and there are
 no ids. `stream` is exact: a stream's format sticks, years follow from the line before, ids count up. For that a stream's
 lines are dealt to one task and sorted by line_no; the task holds one line's state, not the stream, so a long stream
 costs time, not memory.
@@ -22,6 +22,7 @@ from ..functions import records
 from ..plans.packages import NO_RULES
 from ..plans.rules import Rules
 from ..session import prepare
+from .split import CHUNK, canonicalize_split
 from .stream import Declaration, Event, Reader, State
 
 _ID = "decimal(20,0)"
@@ -120,18 +121,21 @@ def canonicalize(
     normalize: bool = True,
     pinned: str = "",
     test_where: bool = False,
+    chunk_lines: int = CHUNK,
 ) -> DataFrame:
     """A row of EVENT_DDL to each line, in no order. Null raw bytes are an empty line.
 
     `declarations` is one for all streams, or one by stream_id (streams that it doesn't name declare nothing).
     """
-    if mode not in ("stateless", "stream"):
-        raise ValueError(f"mode {mode!r} is neither 'stateless' nor 'stream'")
+    if mode not in ("stateless", "stream", "split"):
+        raise ValueError(f"mode {mode!r} is neither 'stateless' nor 'stream' nor 'split'")
     stateless = mode == "stateless"
     lines = with_bytes(lines)
-    if not stateless:
-        lines = lines.repartition("stream_id").sortWithinPartitions("stream_id", "line_no")
     reader_of = readers(rules, declarations, normalize, pinned, test_where, stateless)
+    if mode == "split":
+        return canonicalize_split(lines, reader_of, event_row, EVENT_ARROW, EVENT_DDL, chunk_lines)
+    if mode == "stream":
+        lines = lines.repartition("stream_id").sortWithinPartitions("stream_id", "line_no")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, reader = object(), State(), None

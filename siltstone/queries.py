@@ -283,6 +283,18 @@ def stream_yearless(spark, sf_dir):
     return canonical.canonicalize(rows, mode="stream").select("line_no", "timestamp_ns")
 
 
+@query(
+    "stream_split",
+    f"""SELECT event_id AS line_no, CASE WHEN event_id % 5 <> 0 THEN (sum(CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) - 1)::BIGINT ELSE -1 END AS id,
+CASE WHEN event_id % 5 <> 0 THEN {_NS} ELSE -1 END AS timestamp_ns FROM events""",
+)
+def stream_split(spark, sf_dir):
+    """One stream of all lines, cut in chunks that are read in parallel; the first line of each ten has a year."""
+    line = f"CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 10 = 1 THEN concat({_ISO_T}, 'Z web01 app: ', {_SAID}) ELSE concat({_BSD}, ' web01 app: ', {_SAID}) END"
+    events = canonical.canonicalize(event_lines(spark, sf_dir, line), mode="split", chunk_lines=1000)
+    return events.select("line_no", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("id", "timestamp_ns")])
+
+
 @query(
     "stream_sticky",
     "SELECT event_id AS line_no, CASE WHEN event_id % 2 = 0 THEN 'JSON' ELSE 'JSON' END AS format, 'm' AS content FROM events",

@@ -135,3 +135,35 @@ def test_exports(spark):
     rows = spark.createDataFrame([("s", 0, document), ("s", 1, "plain")], "stream_id string, line_no long, raw string")
     got = canonical.unpack_exports(rows)
     assert sorted((r.line_no, r.sub_no) for r in got.collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_split_streams_agree_with_whole_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    kinds = [
+        lambda n: f"2025-12-{1 + n % 28:02d}T10:00:00Z h app: step {n}",
+        lambda n: f"{rng.choice(['Jan', 'Dec', 'Jun'])} {1 + n % 28:2d} 10:00:00 h app: step {n} failed",
+        lambda n: '{"message":"m"}',
+        lambda n: '{"logGroup":"g","message":"m"}',
+        lambda n: "  " * (n % 2),
+        lambda n: f"a={n} b=2",
+        lambda n: f"plain {n}",
+        lambda n: f"26011{n % 10} 100000 12 INFO dfs.Node: block {n}",
+        lambda n: f"26/01/1{n % 10} 10:00:00 INFO dfs.Node: block {n}",
+        lambda n: '{"resourceSpans":[]}',
+    ]
+    rows = []
+    for stream in range(6):
+        own = rng.sample(kinds, rng.randrange(2, 7))
+        n, undated = 0, stream == 5
+        for _ in range(rng.randrange(5, 25)):
+            kind = kinds[1] if undated else rng.choice(own)
+            for _ in range(rng.randrange(1, 12)):
+                rows.append((f"s{stream}", n, kind(n)))
+                n += rng.randrange(1, 3)
+    df = spark.createDataFrame(rows, "stream_id string, line_no long, raw string").repartition(7)
+    order = ["stream_id", "line_no"]
+    whole = canonical.canonicalize(df, all_rules(), mode="stream").orderBy(*order).collect()
+    for chunk in (1, 7, 1000):
+        assert canonical.canonicalize(df, all_rules(), mode="split", chunk_lines=chunk).orderBy(*order).collect() == whole
