@@ -305,6 +305,8 @@ def _diagnostic(token: str) -> str | None:
 
 def instance_spans(token: str) -> tuple[str, bool, bool]:
     """A token with its UUIDs, long hashes, compact instants and addresses masked; whether one of the first, or of the last, was."""
+    if len(token) < HASH_LEN and ":" not in token:
+        return token, False, False
     out, at, found, ran = [], 0, False, False
     runs = address_runs(token)
     run = next(runs, None)
@@ -399,18 +401,19 @@ def _by(pattern: re.Pattern, form: str):
     return lambda token: m.expand(form) if (m := pattern.match(token)) else None
 
 
-#: Composite rules in order: name, what the token becomes (None: not this rule's), whether reading stops undecided.
+#: Composite rules in order: name, what the token becomes (None: not this rule's), whether reading stops undecided, and
+#: bytes of which the token must have one for the rule to be asked.
 COMPOSITES = (
-    ("diagnostic_composite", _diagnostic, None),
-    ("ephemeral_root", _ephemeral_root, None),
-    ("versioned_ref", _by(_VERSIONED, r"\1<*>\3"), _reference_declines),
-    ("bracket_timestamp", _bracket_time, None),
-    ("bracket_index", _by(_INDEX, r"\1<*>\3"), None),
-    ("hash_counter", _counter, None),
-    ("marker_number", _by(_MONEY, r"$<*>\1"), None),
-    ("embedded_identity", _embedded, None),
-    ("sanitizer_pid", _by(_PID, r"==<*>\1"), None),
-    ("kv_value", _key_value, None),
+    ("diagnostic_composite", _diagnostic, None, ":"),
+    ("ephemeral_root", _ephemeral_root, None, "/\\"),
+    ("versioned_ref", _by(_VERSIONED, r"\1<*>\3"), _reference_declines, "/"),
+    ("bracket_timestamp", _bracket_time, None, "["),
+    ("bracket_index", _by(_INDEX, r"\1<*>\3"), None, "["),
+    ("hash_counter", _counter, None, "#"),
+    ("marker_number", _by(_MONEY, r"$<*>\1"), None, "$"),
+    ("embedded_identity", _embedded, None, ""),
+    ("sanitizer_pid", _by(_PID, r"==<*>\1"), None, "="),
+    ("kv_value", _key_value, None, "="),
 )
 
 
@@ -418,7 +421,9 @@ def composite(token: str) -> tuple[str, str] | None:
     """(rule, normal form) of the first composite rule that claims the token."""
     if not _SEPARATOR.search(token) and not (token[0] == "$" and len(token) > 1):
         return None
-    for name, rule, declines in COMPOSITES:
+    for name, rule, declines, marks in COMPOSITES:
+        if marks and not (marks[0] in token or marks[-1] in token):
+            continue
         if declines and declines(token):
             return None
         form = rule(token)

@@ -36,8 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over all cores where their table has fewer files than there are; a table of many files stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def event_lines(spark: SparkSession, sf_dir: str, line: str, stream: str = "'s'", order: str = "event_id") -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.expr(stream).cast("string").alias("stream_id"), F.expr(order).cast("long").alias("line_no"), F.expr(line).alias("raw"))
+    events = spread(table(spark, sf_dir, "events"))
+    return events.select(F.expr(stream).cast("string").alias("stream_id"), F.expr(order).cast("long").alias("line_no"), F.expr(line).alias("raw"))
 
 
 # --- templates: how often each kind of line occurs
@@ -51,7 +58,7 @@ SELECT template_str, 'h:' || substr(sha256(template_str), 1, 32) AS template_id,
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice", "o_orderpriority"))
     return orders.select(F.lit("orders").alias("stream_id"), F.col("o_orderkey").alias("line_no"), F.expr(_ORDER_LINE).alias("raw"), "o_orderpriority")
 
 
@@ -86,7 +93,8 @@ c AS (SELECT t, count(*) AS n FROM t GROUP BY t)
 SELECT sum(n)::BIGINT AS lines, count(*) AS templates, count(*) FILTER (WHERE n = 1) AS singletons FROM c""",
 )
 def template_cardinality(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select(F.lit("i").alias("stream_id"), F.col("l_orderkey").alias("line_no"), F.expr(_ITEM_LINE).alias("raw"))
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"))
+    items = items.select(F.lit("i").alias("stream_id"), F.col("l_orderkey").alias("line_no"), F.expr(_ITEM_LINE).alias("raw"))
     return reports.cardinality(canonical.canonicalize(items))
 
 
@@ -628,7 +636,7 @@ SELECT count(*) AS lines, count(*) FILTER (WHERE trim(line, ' ' || chr(9) || chr
 @query("document_lines", _WORDS_SQL)
 def document_lines(spark, sf_dir):
     """Every line of every text through the kernel: how many there are, and how many are blank."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("string").alias("stream_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     events = canonical.canonicalize(rows)
     return events.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("no_event_reason").isNotNull()).alias("skipped"))
