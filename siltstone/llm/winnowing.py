@@ -111,7 +111,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     blocks move a second time. Ids far apart make more blocks, not larger ones.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 60))).alias("block"))
-    firsts = docs.join(_block_heads(docs.select("doc_id", "block")), "block").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # The difference keeps the join's key the block alone, so that this join and the window share one exchange of the texts.
+    first = F.coalesce(F.col("doc_id") - F.col("first_id"), F.lit(0)) == 0
+    firsts = docs.join(_block_heads(docs.select("doc_id", "block")), "block").where(first)
     heads = firsts.groupBy(F.col("before").alias("head_block")).agg(F.min("text").alias("head_text"))
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     placed = docs.select("*", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("lead_text"))
