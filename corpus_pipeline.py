@@ -30,17 +30,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near-duplicates, and one row of it where rows repeat."""
+    """Keeps one row of each group of near-duplicate texts: that of smallest doc_id, null ids last.
+
+    Rows of one doc_id count by their own texts: unlinked ones stay each. Where several rows of a group have its smallest
+    doc_id, or where it has null ids only, the one of least text digest stays, then of least other columns.
+    """
     ready(spark)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.select(*COLUMNS).join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(docs) else kept
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.unhex(F.md5("text")).alias("digest"), "lang", "source", "n_chars")
+    docs = docs.select(*COLUMNS).withColumn("row", row)
+    fps = cut(simhash.fingerprints(docs, "row"))
+    keep = simhash.leaders(fps).withColumnRenamed("component_id", "kept_row")
+    kept = docs.join(keep, F.col("row") == F.col("kept_row"), "left_semi")
+    return (kept.dropDuplicates(["row"]) if _repeats(fps) else kept).select(*COLUMNS)
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id stands in more than one row; the texts are only dealt by it where one does."""
-    return bool(docs.groupBy("doc_id").count().where("count > 1").take(1))
+def _repeats(fps: DataFrame) -> bool:
+    """Whether a row stands more than once; the texts are only dealt by it where one does."""
+    return bool(fps.groupBy("doc_id").count().where("count > 1").take(1))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

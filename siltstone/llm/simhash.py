@@ -240,16 +240,33 @@ def near_duplicates(
     component_id is the smallest doc_id reachable over links, the document's own included; fingerprints link at `bits`
     differing bits or fewer, equal ones and zero ones too. Null and blank texts have fingerprint zero. Rows of equal
     doc_id each come back, in the component of their own fingerprint. A null doc_id is kept and never names a
-    component, unless all of its fingerprint's ids are null. An empty table gives an empty one.
+    component, unless all ids of the component are null. An empty table gives an empty one.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width, seed))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    # One doc_id can be the least of two fingerprints only where ids repeat; then those fingerprints share a node.
-    found = components(links(nodes, bits, n_blocks))
-    whole = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    groups = _groups(fps, bits, n_blocks)
+    whole = groups.join(_least(groups), "component").select("fp", "component_id")
     return fps.join(cut(whole), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def leaders(fps: DataFrame, bits: int = BITS, n_blocks: int = BLOCKS) -> DataFrame:
+    """(component_id): the smallest doc_id of each component of `fps` (doc_id, fp), null where all of them are."""
+    return _least(_groups(fps, bits, n_blocks)).select("component_id")
+
+
+def _groups(fps: DataFrame, bits: int, n_blocks: int) -> DataFrame:
+    """(fp, least, component) for each fingerprint: its smallest doc_id, and the smallest fingerprint reachable.
+
+    Fingerprints are their own nodes: an id can be the smallest of several that aren't linked, or be null.
+    """
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bits, n_blocks))
+    return cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+
+
+def _least(groups: DataFrame) -> DataFrame:
+    return groups.groupBy("component").agg(F.min("least").alias("component_id"))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

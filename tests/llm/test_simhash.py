@@ -70,3 +70,12 @@ def test_near_duplicates(docs, no_docs):
     got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=repr)
     assert got == want
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_one_id_with_unlinked_texts(spark):
+    a, b = (" ".join(f"{x}x{k}" for k in range(100)) for x in (1, 2))
+    rows = [(70, a), (70, b), (65, a + " tail"), (None, b + " tail"), (None, "alone")]
+    assert all(0 < bin(plain_fingerprint(x) ^ plain_fingerprint(x + " tail")).count("1") <= 4 for x in (a, b))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, plain_fingerprint(t), c) for (i, t), c in zip(rows, (65, 70, 65, 70, None))]
+    assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=repr) == sorted(want, key=repr)
