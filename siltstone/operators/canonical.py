@@ -11,6 +11,7 @@ costs time, not memory.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping
 from decimal import Decimal
 
@@ -60,6 +61,9 @@ EVENT_ARROW = pa.schema(
     ]
 )
 
+CONTEXT_DDL = EVENT_DDL + ", context map<string,string>"
+CONTEXT_ARROW = EVENT_ARROW.append(pa.field("context", pa.map_(pa.string(), pa.string())))
+
 
 def _trace(t: records.Trace) -> dict:
     return vars(t) | {k: Decimal(getattr(t, k)) for k in ("trace_id", "span_id", "parent_span_id")}
@@ -122,18 +126,27 @@ def canonicalize(
     pinned: str = "",
     test_where: bool = False,
     chunk_lines: int = CHUNK,
+    contexts: DataFrame | None = None,
 ) -> DataFrame:
     """A row of EVENT_DDL to each line, in no order. Null raw bytes are an empty line.
 
     `declarations` is one for all streams, or one by stream_id (streams that it doesn't name declare nothing).
+    `contexts` (stream_id, line_no, context map<string,string>) declares contexts anew within streams: each replaces the
+    stream's as a whole and the year to resolve by, for the lines from its line_no on. Events then have a last column,
+    context: the one in force. Lines are dealt by stream for that, in stateless mode too.
     """
     if mode not in ("stateless", "stream", "split"):
         raise ValueError(f"mode {mode!r} is neither 'stateless' nor 'stream' nor 'split'")
     stateless = mode == "stateless"
     lines = with_bytes(lines)
     reader_of = readers(rules, declarations, normalize, pinned, test_where, stateless)
+    arrow, ddl = EVENT_ARROW, EVENT_DDL
+    if contexts is not None:
+        lines, arrow, ddl = with_contexts(lines, contexts), CONTEXT_ARROW, CONTEXT_DDL
     if mode == "split":
-        return canonicalize_split(lines, reader_of, event_row, EVENT_ARROW, EVENT_DDL, chunk_lines)
+        return canonicalize_split(lines, reader_of, event_row, arrow, ddl, chunk_lines)
+    if contexts is not None:
+        return _canonicalize_declared(lines, reader_of, stateless)
     if mode == "stream":
         lines = lines.repartition("stream_id").sortWithinPartitions("stream_id", "line_no")
 
@@ -150,6 +163,34 @@ def canonicalize(
     return lines.mapInArrow(read, EVENT_DDL)
 
 
+def with_contexts(lines: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(stream_id, line_no, raw, said): `lines`, and `contexts` as rows with said, their context as JSON."""
+    context = F.coalesce(F.to_json(F.col("context")), F.lit("{}"))
+    changes = contexts.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("line_no").cast("long").alias("line_no"), F.lit(None).cast("binary").alias("raw"), context.alias("said"))
+    return lines.withColumn("said", F.lit(None).cast("string")).unionByName(changes)
+
+
+def _canonicalize_declared(lines: DataFrame, reader_of: Callable[[str], Reader], stateless: bool) -> DataFrame:
+    """Events of with_contexts(); a context stands before the line of its number."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, reader = object(), State(), None
+        for batch in batches:
+            rows = []
+            for stream, number, raw, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if reader is None or stream != current:
+                    current, state, reader = stream, State(), reader_of(stream)
+                if said is not None:
+                    reader, state.year_reference = reader.declared(json.loads(said)), None
+                    continue
+                row = event_row(stream, number, *reader.read((raw or b"").decode("latin-1"), state), stateless)
+                rows.append(row | {"context": list(reader.context.items())})
+            yield pa.RecordBatch.from_pylist(rows, schema=CONTEXT_ARROW)
+
+    ordered = lines.repartition("stream_id").sortWithinPartitions("stream_id", "line_no", F.col("said").asc_nulls_last())
+    return ordered.mapInArrow(read, CONTEXT_DDL)
+
+
 def readers(rules: Rules, declarations, normalize: bool, pinned: str, test_where: bool, stateless: bool) -> Callable[[str], Reader]:
     """A function that gives a stream's reader, made once to a declaration and worker."""
     if isinstance(declarations, Mapping):

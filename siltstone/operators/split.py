@@ -16,6 +16,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,22 @@ _SAID_DDL = "stream_id string, chunk long, said string"
 
 def _ordered(rows: pa.Table) -> Iterator[tuple[int, str]]:
     rows = rows.sort_by("line_no")
+    if "said" in rows.column_names:
+        rows = rows.filter(pc.is_null(rows["said"]))
     for number, raw in zip(rows["line_no"].to_pylist(), rows["raw"].to_pylist(), strict=True):
         yield number, (raw or b"").decode("latin-1")
 
 
+def _declared(rows: pa.Table) -> Iterator[tuple[int, str | None, dict | None]]:
+    """(line_no, line, None) in order, or (line_no, None, context) before the line from which a context is in force."""
+    if "said" not in rows.column_names:
+        yield from ((number, raw, None) for number, raw in _ordered(rows))
+        return
+    rows = rows.sort_by([("line_no", "ascending"), ("said", "ascending")])  # nulls last
+    for number, raw, said in zip(*(rows[c].to_pylist() for c in ("line_no", "raw", "said")), strict=True):
+        yield (number, (raw or b"").decode("latin-1"), None) if said is None else (number, None, json.loads(said))
+
+
 def routes(reader: Reader, lines: Iterator[str]) -> dict[str, str]:
     """The sticky format after `lines`, by the one before; `*` stands for all that aren't named."""
     names = ["", RAW_TEXT.name, *reader.detector.by_name]
@@ -58,10 +71,16 @@ def routes(reader: Reader, lines: Iterator[str]) -> dict[str, str]:
     return {"*": usual} | {name: end for name, end in now.items() if end != usual}
 
 
-def summary(reader: Reader, lines: Iterator[str], sticky: str) -> dict:
-    """How many events the lines have and the last time among them; their stamps without a year while none has one."""
-    state, n, last, stamps = State(sticky), 0, None, []
-    for raw in lines:
+def summary(reader: Reader, lines: Iterator[tuple[int, str | None, dict | None]], sticky: str) -> dict:
+    """How many events the lines have and the last time among them; their stamps without a year while none has one.
+
+    The last context that they declare, if any, and the times behind it alone.
+    """
+    state, n, last, stamps, context = State(sticky), 0, None, [], None
+    for _, raw, declared in lines:
+        if declared is not None:
+            last, stamps, context = None, [], declared
+            continue
         content = peel(raw, reader.stack)[0] if reader.stack else raw
         if reader.stack and not content.strip(" \t\r"):
             continue
@@ -76,7 +95,7 @@ def summary(reader: Reader, lines: Iterator[str], sticky: str) -> dict:
             last = last if at is None else at
         elif parsed.ts_ns is not None:
             last, stamps = parsed.ts_ns, []
-    return {"n": n, "last": last, "stamps": stamps}
+    return {"n": n, "last": last, "stamps": stamps, "context": context}
 
 
 def _folded(said: DataFrame, start: dict, step: Callable[[dict, dict], dict]) -> DataFrame:
@@ -103,14 +122,14 @@ def _route_step(state: dict, said: dict) -> dict:
 
 
 def _time_step(state: dict, said: dict) -> dict:
-    year = state["year"]
+    year = state["year"] if said["context"] is None else None
     if said["last"] is not None:
         year = said["last"]
     elif year is not None:
         for stamp in said["stamps"]:
             at = times.resolve_yearless(times.Yearless(*stamp), year)
             year = year if at is None else at
-    return {"year": year, "id": state["id"] + said["n"]}
+    return {"year": year, "id": state["id"] + said["n"], "context": state["context"] if said["context"] is None else said["context"]}
 
 
 def canonicalize_split(
@@ -128,14 +147,23 @@ def canonicalize_split(
 
     def count(key: tuple[pa.Scalar, ...], rows: pa.Table, before: pa.Table) -> pa.Table:
         reader, state = reader_of(key[0].as_py()), json.loads(before["said"][0].as_py())
-        return said(key, summary(reader, (raw for _, raw in _ordered(rows)), state["sticky"]) | {"sticky": state["sticky"]})
+        return said(key, summary(reader, _declared(rows), state["sticky"]) | {"sticky": state["sticky"]})
 
     def read(key: tuple[pa.Scalar, ...], rows: pa.Table, before: pa.Table) -> pa.Table:
         reader, said_ = reader_of(key[0].as_py()), json.loads(before["said"][0].as_py())
         state = State(said_["sticky"], said_["year"], said_["id"])
-        return pa.Table.from_pylist([row(key[0].as_py(), n, *reader.read(raw, state)) for n, raw in _ordered(rows)], schema=arrow)
+        if said_["context"] is not None:
+            reader = reader.declared(said_["context"])
+        out = []
+        for n, raw, declared in _declared(rows):
+            if declared is not None:
+                reader, state.year_reference = reader.declared(declared), None
+                continue
+            event = row(key[0].as_py(), n, *reader.read(raw, state))
+            out.append(event | {"context": list(reader.context.items())} if "context" in arrow.names else event)
+        return pa.Table.from_pylist(out, schema=arrow)
 
     routed = _folded(chunks.groupBy(*by).applyInArrow(route, _SAID_DDL), {"sticky": ""}, _route_step)
     counted = chunks.groupBy(*by).cogroup(routed.groupBy(*by)).applyInArrow(count, _SAID_DDL)
-    reached = _folded(counted, {"year": None, "id": 0}, _time_step)
+    reached = _folded(counted, {"year": None, "id": 0, "context": None}, _time_step)
     return chunks.groupBy(*by).cogroup(reached.groupBy(*by)).applyInArrow(read, ddl)

@@ -334,10 +334,15 @@ def stream_counters(spark, sf_dir):
 OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS context FROM events""",
 )
 def context_carry(spark, sf_dir):
-    """A declared value holds for the lines behind it."""
-    order = Window.partitionBy("event_type").orderBy("event_id")
-    declared = F.when(F.col("event_id") % 10 == 0, F.col("user_id"))
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("stream_id"), "event_id", F.coalesce(F.last(declared, ignorenulls=True).over(order), F.lit(-1)).alias("context"))
+    """A declared value holds for the lines behind it: each tenth event declares a pull request."""
+    events = table(spark, sf_dir, "events")
+    declared = events.where("event_id % 10 = 0 AND user_id IS NOT NULL").select(
+        F.col("event_type").alias("stream_id"), F.col("event_id").alias("line_no"), F.create_map(F.lit("pull_request"), F.col("user_id").cast("string")).alias("context")
+    )
+    lines = event_lines(spark, sf_dir, "concat('merged PR#', user_id)", "event_type")
+    carried = canonical.canonicalize(lines, all_rules(), Declaration("github"), mode="split", contexts=declared)
+    value = F.coalesce(F.col("context")["pull_request"].cast("long"), F.lit(-1))
+    return carried.select("stream_id", F.col("line_no").alias("event_id"), value.alias("context"))
 
 
 # --- levels

@@ -10,6 +10,7 @@ from siltstone.operators.stream import CELLS, Declaration, Reader, State, projec
 from siltstone.plans import walkers
 from siltstone.plans.packages import all_rules
 from siltstone.sources.lines import read_lines, write_templates
+from siltstone.streaming.canonical import canonicalize_stream
 
 RAW = [
     b"2026-01-15T10:00:00Z web01 app: user 5 failed\r",
@@ -167,3 +168,36 @@ def test_split_streams_agree_with_whole_ones(spark):
     whole = canonical.canonicalize(df, all_rules(), mode="stream").orderBy(*order).collect()
     for chunk in (1, 7, 1000):
         assert canonical.canonicalize(df, all_rules(), mode="split", chunk_lines=chunk).orderBy(*order).collect() == whole
+
+
+def test_contexts_within_a_stream(spark, tmp_path):
+    rules, declared = all_rules(), Declaration("github", context=(("pull_request", "11111"),))
+    said = {0: {"a": {"run_id": "1234567890"}}, 7: {"a": {"pull_request": "22222"}, "b": {"pull_request": "33333"}}, 12: {"a": {}}, 14: {"a": {"pull_request": "44444"}}, 40: {"b": {}}}
+    text = lambda n: f"Jan 15 10:{n:02d}:00 h app: PR#11111 PR#22222 PR#33333 PR#44444 run 1234567890" if n % 4 else f"2026-01-15T10:{n:02d}:00Z h app: PR#22222"
+    lines = [(s, n, text(n)) for s in "ab" for n in range(20)]
+    changes = [(s, n, c) for n, own in said.items() for s, c in own.items()]
+    want = []
+    for s in "ab":
+        reader, state = Reader(rules, declared), State()
+        for n in range(20):
+            if s in said.get(n, {}):
+                reader, state.year_reference = Reader(rules, Declaration("github", context=tuple(said[n][s].items()))), None
+            e, _ = reader.read(text(n), state)
+            want.append((s, n, e.id, e.timestamp_ns, e.template))
+    assert len({w[4] for w in want}) > 4 and any(w[3] is None for w in want if w[1] == 7)
+    schemas = ("stream_id string, line_no long, raw string", "stream_id string, line_no long, context map<string,string>")
+    frames = [spark.createDataFrame(rows, schema).repartition(3) for rows, schema in zip((lines, changes), schemas)]
+    columns_ = ["stream_id", "line_no", "id", "timestamp_ns", "template_str"]
+    for mode, chunk in (("stream", 1), ("split", 3), ("split", 50)):
+        got = canonical.canonicalize(frames[0], rules, declared, mode=mode, contexts=frames[1], chunk_lines=chunk).select(*columns_).collect()
+        assert sorted(map(tuple, got)) == want, mode
+    got = canonical.canonicalize(frames[0], rules, declared, contexts=frames[1]).select("stream_id", "line_no", "template_str", "context").collect()
+    assert sorted((r.stream_id, r.line_no, r.template_str) for r in got) == [(w[0], w[1], w[4]) for w in want]
+    assert {r.line_no: r.context for r in got if r.stream_id == "a"}[13] == {}
+    for batch in (range(10), range(10, 50)):
+        for rows, schema, name in zip((lines, changes), schemas, "lc"):
+            spark.createDataFrame([r for r in rows if r[1] in batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)) for schema, name in zip(schemas, "lc")]
+    out = canonicalize_stream(streams[0], rules, declared, contexts=streams[1]).writeStream.format("memory").queryName("declared")
+    out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(tuple, spark.table("declared").select(*columns_).collect())) == want
