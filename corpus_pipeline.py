@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one doc_id count by their own texts: unlinked ones stay each. Where several rows of a group have its smallest
     doc_id, or where it has null ids only, the one of least text digest stays, then of least other columns.
     Near-duplicates are those of op4_simhash at its defaults: shingles of 4 words, 4 of 64 bits. That isn't five words at
-    a similarity of 0.8: most pairs that alike differ in more bits and both stay.
+    a similarity of 0.8; recall at that similarity isn't measured.
     """
     ready(spark)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.unhex(F.md5("text")).alias("digest"), "lang", "source", "n_chars")
