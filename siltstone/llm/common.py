@@ -36,12 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and all runs in one process, as in tests, a temporary one; on a cluster that is an error, for
+    executors couldn't see it.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -52,14 +58,29 @@ def cut(df: DataFrame) -> DataFrame:
     where = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    out = df.checkpoint()
+    passing(spark, spark.sparkContext.getCheckpointDir())
+    return out
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` as a compressed Parquet table in the shared folder: for wide rows, which a checkpoint would keep uncompressed."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """`df` as a compressed Parquet table in the shared folder: for wide rows, which a checkpoint would keep uncompressed.
+
+    With `by`, rows of one value of that column are in a folder of their own, which a filter on it reads alone.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Has an existing folder of intermediate rows removed as the application ends; its rows can be read till then."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -4,9 +4,10 @@ Nodes are runs of k - 1 words, edges are windows of k words. A node doesn't bran
 documents, have the same word before and the same word behind. Edges that meet in such a node occur in the same places,
 so paths between branching nodes compact to one: its first edge speaks for all. Only compacted paths are joined: each
 with the least (doc_id, place) of its occurrences, its source. Two occurrences join where their first edge has the same
-hash and a second hash over all words of the path agrees, which verifies the whole span at both coordinates.
+hash and the words of the whole span, read at both coordinates, have the same XXH3. That digest is taken of the bytes
+of the words themselves, by a function that has nothing in common with the edge's hash.
 
-Work is in blocks of whole documents, dealt by a hash of the doc_id; one exchange of the texts serves every pass.
+Work is in blocks of whole documents, dealt by a hash of doc_id and text; one exchange of the texts serves every pass.
   1. sketch: each block sends its distinct node hashes, cut short, sorted and packed; buckets answer which of them
      another block has too. That spares sending what stands in one block alone.
   2. ends: each block sends (node, neighbours) of the shared nodes; buckets answer which of them branch.
@@ -14,7 +15,9 @@ Work is in blocks of whole documents, dealt by a hash of the doc_id; one exchang
      least coordinate in the block. So a passage that many documents share is a row to each block, not to each document.
   4. sources: the blocks' rows of a path meet, and each block learns the least coordinate of all.
   5. cover: each block cuts its documents again; paths with a source in a smaller doc_id cover words, which go.
-Hashes are vectors: with powers of an odd base, a span's hash is a difference of running sums, divided by a power.
+Words are hashed eight bytes at a time, mixed between. Hashes of runs of words are vectors: with powers of a base, a
+run's hash is a difference of running sums, divided by a power, all modulo the prime 2^61 - 1, so no run of words collides
+with another for what the base is.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, distinct, table, text_bytes
+from .common import among, distinct, partitions, table, text_bytes
 
 WINDOW = 13
 #: Text to a block, and nodes to a bucket, at which to aim.
@@ -35,37 +39,86 @@ BLOCK_CHARS, BUCKET_NODES = 4_000_000, 4_000_000
 #: Bits of a sketched hash beyond those that count all words: one node in 2^SPARE is sent for nothing.
 SPARE = 11
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PRIME = (1 << 61) - 1
+_BASE = 0x1D3F84A5B7C6E295 % _PRIME
+_powers: list[np.ndarray] = []
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+#: Words of more bytes are hashed by XXH3, not in vectors.
+_LONG_WORD = 256
+_U = np.uint64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def _base_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of `base` and of its inverse, modulo 2^64, from the zeroth to the nth at least."""
-    if base not in _powers or len(_powers[base][0]) <= n:
-        size = 1 << max(16, n.bit_length())
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            own = np.full(size, b, np.uint64)
-            own[0] = 1
-            pair.append(np.multiply.accumulate(own))
-        _powers[base] = pair[0], pair[1]
-    return _powers[base]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1."""
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of numbers under it: by halves of a of 31 bits and of b of 30."""
+    a_low, a_high, b_low, b_high = a & _U(0x7FFFFFFF), a >> _U(31), b & _U(0x3FFFFFFF), b >> _U(30)
+    high = _reduced(a_high * b_high)  # times 2^61, which is 1
+    by_31, by_30 = a_high * b_low, a_low * b_high  # times 2^31 and 2^30
+    mid = ((by_31 & _U(0x3FFFFFFF)) << _U(31)) + (by_31 >> _U(30)) + ((by_30 & _U(0x7FFFFFFF)) << _U(30)) + (by_30 >> _U(31))
+    return _reduced(high + _reduced(mid) + _reduced(a_low * b_low))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A hash of values[start:end] for each span, the same wherever the span stands."""
-    power, inverse = _base_powers(base, len(values) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)))
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from the zeroth to the nth at least."""
+    if not _powers or len(_powers[0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        _powers.clear()
+        for b in (_BASE, pow(_BASE, -1, _PRIME)):
+            own = np.ones(1, np.uint64)
+            while len(own) < size:
+                own = np.concatenate((own, _times(own, _U(pow(b, len(own), _PRIME)))))
+            _powers.append(own)
+    return _powers[0], _powers[1]
+
+
+class RunHashes:
+    """Hashes of runs of `values`, the same wherever a run stands."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        power, self.inverse = _base_powers(len(values) + 1)
+        terms = _times(_reduced(values), power[: len(values)])
+        # Running sums of 30 low and 31 high bits, each exact in 64 bits.
+        low, high = (np.cumsum(x, dtype=np.uint64) for x in (terms & _U(0x3FFFFFFF), terms >> _U(30)))
+        high = _reduced(high)
+        sums = _reduced(_reduced(((high & _U(0x7FFFFFFF)) << _U(30)) + (high >> _U(31))) + _reduced(low))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), sums))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash, of 64 bits, of values[start:end] for each run."""
+        run = _times(_reduced(self.sums[ends] + _U(_PRIME) - self.sums[starts]), self.inverse[starts])
+        return _mix(run + (ends - starts).astype(np.uint64) * _U(0x632BE59BD9B4E019))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash, of 64 bits, of raw[start:end] for each word; `raw` goes on for eight bytes behind the last."""
+    size = ends - starts
+    lanes = np.lib.stride_tricks.as_strided(raw.view(np.uint8), (max(0, len(raw) - 7), 8), (1, 1))
+    out = _mix(size.astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > _LONG_WORD)
+    open_ = np.flatnonzero((size > 0) & (size <= _LONG_WORD))
+    done = 0
+    while len(open_):
+        lane = lanes[starts[open_] + done].copy().view("<u8").reshape(-1)
+        spare = np.maximum(8 - (size[open_] - done), 0).astype(np.uint64) * _U(8)
+        lane = lane << spare >> spare
+        out[open_] = _mix((out[open_] ^ lane) * _U(0xD1342543DE82EF95) + _U(done))
+        done += 8
+        open_ = open_[size[open_] > done]
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], 1)
+    return out
 
 
 class Words:
@@ -73,7 +126,7 @@ class Words:
 
     def __init__(self, texts: list[bytes], window: int = WINDOW) -> None:
         self.window = window
-        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        raw = np.frombuffer(b"\n".join(texts) + b"\n" * 9, np.uint8)
         space = _SPACE[raw]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(raw) and not space[0]:
@@ -81,7 +134,8 @@ class Words:
         self.starts, self.ends = edge[0::2], edge[1::2]
         begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
         self.doc = np.searchsorted(begins, self.starts, "right") - 1
-        self.hashes = span_hashes(_BYTES[raw], self.starts, self.ends, _BASES[0])
+        self.hashes = word_hashes(raw, self.starts, self.ends)
+        self.raw, self.space, self._runs = raw, space, RunHashes(self.hashes)
         #: Place of each document's first word, and the end of its last.
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
@@ -95,14 +149,28 @@ class Words:
         size = self.window - 1
         at = self.runs(size)
         at = at[(self.first[1:] - self.first[:-1])[self.doc[at]] > size]
-        return at, span_hashes(self.hashes, at, at + size, _BASES[0])
+        return at, self._runs.of(at, at + size)
+
+    def edges(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that begin at these places."""
+        return self._runs.of(at, at + self.window)
+
+    def digests(self, at: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """XXH3 of the words of each span [at, behind), joined by one space: of their own bytes."""
+        keep = ~self.space
+        keep[self.ends] = True  # one space behind each word
+        text = np.where(self.space, np.uint8(32), self.raw)[keep].tobytes()
+        ends = np.cumsum(self.ends - self.starts + 1)
+        starts = (ends - (self.ends - self.starts + 1))[at].tolist()
+        digest, view = xxhash.xxh3_64_intdigest, memoryview(text)
+        return np.fromiter((digest(view[a:b]) for a, b in zip(starts, (ends[behind - 1] - 1).tolist())), np.uint64, len(at))
 
     def neighbours(self, at: np.ndarray) -> np.ndarray:
         """A hash, of 48 bits, of the words around each node; zero where the document begins or ends there."""
         behind = at + self.window - 1
         inside = (at > self.first[self.doc[at]]) & (behind < self.first[self.doc[at] + 1])
         before, after = self.hashes[np.maximum(at - 1, 0)], self.hashes[np.minimum(behind, len(self.hashes) - 1)]
-        out = _mix(before * np.uint64(_BASES[1]) + _mix(after + np.uint64(_BASES[0]))) >> np.uint64(16)
+        out = _mix(before * _U(0xD1342543DE82EF95) + _mix(after + _U(0x9E3779B97F4A7C15))) >> _U(16)
         out[out == 0] = 1
         return np.where(inside, out, np.uint64(0))
 
@@ -173,8 +241,8 @@ _PATHS_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in _PATHS.split(", ")
 class Paths:
     """The compacted paths of a block's documents that begin at a branching node, an occurrence a row.
 
-    `doc` is the place of the document in the block, `start` counts its words, `length` the path's edges; `edge` and
-    `whole` are hashes of the first edge and of all words. `told` are nodes that branch over all blocks.
+    `doc` is the place of the document in the block, `start` counts its words, `length` the path's edges; `edge` is a
+    hash of the first edge, `whole` the digest of all words. `told` are nodes that branch over all blocks.
     """
 
     def __init__(self, words: Words, told: np.ndarray) -> None:
@@ -191,8 +259,8 @@ class Paths:
         begin = start[head]
         self.doc = words.doc[begin]
         self.start = begin - words.first[self.doc]
-        self.edge = span_hashes(words.hashes, begin, begin + window, _BASES[0]).view(np.int64)
-        self.whole = span_hashes(words.hashes, begin, begin + window - 1 + self.length, _BASES[1]).view(np.int64)
+        self.edge = words.edges(begin).view(np.int64)
+        self.whole = words.digests(begin, begin + window - 1 + self.length).view(np.int64)
 
     def least(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order, first): rows by path, id and start, and where in that order each path begins."""
@@ -242,7 +310,8 @@ def _branching(ends: list[bytes]) -> list[bytes]:
 def _sourced(blocks: DataFrame, n_words: int, window: int, bucket_nodes: int) -> DataFrame:
     """(block, data, edge, path_hash, doc_id, start): what each block is told of its branching nodes (data) and of the
     least coordinate of each path that another block has too."""
-    n_buckets = 1 << max(0, math.ceil(math.log2(max(1, n_words / bucket_nodes))))
+    # As many buckets as tasks at least, so that none of them holds several.
+    n_buckets = 1 << max(0, math.ceil(math.log2(max(1, n_words / bucket_nodes, partitions(blocks.sparkSession)))))
     kept_bits = min(64, max(32, n_words.bit_length() + SPARE))
     short = np.uint64(64 - kept_bits)
     texts = blocks.groupBy("block")
@@ -279,10 +348,11 @@ def _sourced(blocks: DataFrame, n_words: int, window: int, bucket_nodes: int) ->
     sent = texts.cogroup(shared.groupBy("block")).applyInArrow(ends, _SENT)
     branching = _answers(sent, _branching).select("block", "data")
     found = texts.cogroup(branching.groupBy("block")).applyInArrow(paths, _PATHS)
-    same = Window.partitionBy("edge", "path_hash")
-    source = F.min(F.struct("doc_id", "start")).over(same)
-    met = found.select("block", "edge", "path_hash", source.alias("source"), F.count(F.lit(1)).over(same).alias("n")).where("n > 1")
-    sources = met.select("block", F.lit(None).cast("binary").alias("data"), "edge", "path_hash", "source.doc_id", "source.start")
+    # Aggregated before the exchange and joined back: a path that every block has is no group that one task must hold.
+    source = F.min(F.struct("doc_id", "start")).alias("source")
+    met = found.groupBy("edge", "path_hash").agg(source, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    sources = found.select("block", "edge", "path_hash").join(met, ["edge", "path_hash"])
+    sources = sources.select("block", F.lit(None).cast("binary").alias("data"), "edge", "path_hash", "source.doc_id", "source.start")
     none = [F.lit(None).cast("long").alias(c) for c in ("edge", "path_hash", "doc_id", "start")]
     return branching.select("block", "data", *none).unionByName(sources)
 
@@ -314,10 +384,14 @@ class _Cover:
 
 
 def blocked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) of `docs` in blocks of about `block_chars`, and a bound on the number of words."""
+    """(block, doc_id, text) of `docs` in blocks of about `block_chars`, and a bound on the number of words.
+
+    The text counts for the block too, so rows of one doc_id, or without one, are no block of their own; only rows alike
+    in both stay together.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    block = F.pmod(F.xxhash64(id_col), F.lit(max(1, chars // block_chars)))
+    block = F.pmod(F.xxhash64(id_col, text), F.lit(max(1, chars // block_chars)))
     return docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), chars // 2 + 1
 
 
@@ -377,6 +451,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_chars: int = BLO
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of `documents`, by remove_repeats(), which states the odd cases."""
     rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 

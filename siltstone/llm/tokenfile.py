@@ -11,6 +11,7 @@ bytes, data bytes. Files hold ascending doc_ids, in the order of (part, seq) in
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import cut, partitions, shared_dir, stored, table, text_bytes
+from .common import cut, partitions, passing, shared_dir, stored, table, text_bytes
 
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 1
 MAGIC, HEAD = b"SILTIDS1", struct.Struct("<8s5Q")
@@ -36,6 +37,16 @@ MAGIC, HEAD = b"SILTIDS1", struct.Struct("<8s5Q")
 FILE_IDS, CACHE, CACHE_LEN = 8_000_000, 400_000, 48
 #: Marks that are a pre-token of their own behind a letter.
 MARKS = ".,;:!?"
+#: The normaliser and pre-tokeniser, as a tokenizer file has them, for which WordTokenizer's short ways hold.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: The lengths of the four ranks behind each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -46,7 +57,8 @@ class WordTokenizer:
     The tokenizer's normaliser and pre-tokeniser never look across white space, so the runs' ids, joined, are the text's.
     A run of plain Latin letters, perhaps with one mark behind it, needs no normaliser but lower case and goes straight to
     the library's BPE model; any other run goes through all of the tokenizer. Runs are remembered in two generations: as
-    the younger is full it becomes the older, whose runs return to the younger as they are met.
+    the younger is full it becomes the older, whose runs return to the younger as they are met. All this holds for the
+    normaliser and pre-tokeniser above; with a file that has others, each whole text goes through the library.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -56,6 +68,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.by_runs = splits_at_space(json.load(file))
         self.model = self.whole.model
         #: Whether two bytes hold any id.
         self.narrow = self.whole.get_vocab_size() <= 1 << 16
@@ -97,6 +111,9 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned integers, of two bytes each if `narrow`, else four."""
+        if not self.by_runs:
+            kind = "<u2" if self.narrow else "<u4"
+            return [np.array(self.whole.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, kind).tobytes() for x in texts]
         out, run_ids = [], self._run
         for text in texts:
             if len(self.young) > CACHE:
@@ -114,6 +131,12 @@ class WordTokenizer:
         return out
 
 
+def splits_at_space(file: dict) -> bool:
+    """Whether the tokenizer of this file gives a text the ids of its runs between ASCII white space, joined."""
+    tokens = [t for t in file.get("added_tokens") or [] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]]]
+    return file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == PRE_TOKENIZER and file["model"]["type"] == "BPE" and not file.get("truncation") and not tokens
+
+
 def _packed_token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int | None) -> DataFrame:
     """(doc_id, wide, packed): ids of four bytes each where wide, else of two; `end_id` last."""
 
@@ -238,10 +261,10 @@ def write_token_files(ids: DataFrame, folder: str | None = None, file_ids: int =
 
     The manifest has a row for each file: part, seq, path, n_docs, n_ids. Tasks write under names of their own, so a task
     that runs twice leaves a file that no manifest names. `folder` is one that driver and executors share; by default a
-    new one in the checkpoint folder. Rows of equal doc_id are kept, in any order. An empty table writes no file.
+    new one in the checkpoint folder, which goes as the application ends. Rows of equal doc_id are kept, in any order. An empty table writes no file.
     """
     spark = ids.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    own, folder = folder is None, folder or f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     packed = stored(_narrow(ids) if "ids" in ids.columns else ids)
     ranked = frequency_ranks(packed)
 
@@ -272,7 +295,10 @@ def write_token_files(ids: DataFrame, folder: str | None = None, file_ids: int =
 
     order = F.col("doc_id").asc_nulls_first()
     dealt = packed.repartitionByRange(partitions(spark), order).sortWithinPartitions(order)
-    return cut(dealt.mapInArrow(write, "part long, seq long, path string, n_docs long, n_ids long"))
+    manifest = cut(dealt.mapInArrow(write, "part long, seq long, path string, n_docs long, n_ids long"))
+    if own:
+        passing(spark, folder)
+    return manifest
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -307,6 +333,10 @@ def write_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_token_file(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every row of `documents`, read back from the files that write_documents() wrote.
+
+    A null text has the end id alone. Null doc_ids come first; rows of equal doc_id stay each. An empty table gives an empty one.
+    """
     read = read_token_files(write_documents(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

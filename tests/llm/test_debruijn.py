@@ -55,3 +55,39 @@ def test_packing():
             around = rng.integers(0, 1 << 48, len(values), np.uint64)
             nodes, back = debruijn.unpack_ends(debruijn.pack_ends(values, around))
             assert nodes.tolist() == values.tolist() and back.tolist() == around.tolist()
+
+
+def test_words_that_a_power_sum_confuses(spark):
+    """Words, and runs of words, in the pattern in which any polynomial modulo 2^64 takes one for the other."""
+    turns = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    for long in (200, 256, 1024, 2048):
+        a, b = ("".join("xy"[t ^ flip] for t in turns[:long]) for flip in (0, 1))
+        shared = " ".join(f"w{i}" for i in range(12))
+        rows = [(1, f"{shared} {a}"), (2, f"{shared} {b}"), (3, f"{shared} {a}")]
+        got = debruijn.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 13, 0), (2, 13, 0), (3, 13, 13)]
+    runs = [[f"{'ab'[t ^ flip]}" for t in turns] for flip in (0, 1)]
+    words = debruijn.Words([" ".join(x).encode() for x in runs])
+    n = len(turns)
+    whole = words._runs.of(np.array([0, n]), np.array([n, 2 * n]))
+    assert whole[0] != whole[1]
+
+
+def test_run_hashes_are_exact():
+    rng, p = random.Random(4), debruijn._PRIME
+    a, b = ([rng.choice([0, 1, p - 1, rng.randrange(p)]) for _ in range(500)] for _ in range(2))
+    assert debruijn._times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % p for x, y in zip(a, b)]
+    values = np.array([rng.choice([0, (1 << 64) - 1, rng.getrandbits(64)]) for _ in range(3000)], np.uint64)
+    sums, total = debruijn.RunHashes(values).sums, 0
+    for k, v in enumerate(values.tolist()):
+        assert int(sums[k]) == total
+        total = (total + v % p * pow(debruijn._BASE, k, p)) % p
+
+
+def test_one_id_and_no_id_and_long_texts(spark):
+    run = " ".join(f"r{i}" for i in range(30))
+    long = " ".join(f"z{i % 70_000}" for i in range(400_000))
+    rows = [(None, run), (None, run), (None, None), (5, run), (5, run + " x"), (5, run), (9, f"q {run}"), (7, long), (8, long + " " + "y" * 1_000_000)]
+    got = debruijn.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_chars=200).collect()
+    want = list(plain([type("R", (), {"doc_id": d, "text": t}) for d, t in rows], 13))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

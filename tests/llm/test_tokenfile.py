@@ -36,3 +36,11 @@ def test_files(docs, no_docs):
     direct = tokenfile.read_token_files(tokenfile.write_documents(docs))
     assert {(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in direct.collect()} == want
     assert tokenfile.read_token_files(tokenfile.write_documents(no_docs)).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark, docs):
+    path = tokenfile.public_tokenizers.path("byte_bpe_50k.json")
+    model, own = Tokenizer.from_file(path), tokenfile.WordTokenizer(path)
+    assert tokenfile.WordTokenizer().by_runs and not own.by_runs
+    texts = ["Two  Words\n\tof\x1c THE text ", "", "it's  12 x́"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode([x.encode() for x in texts])] == [model.encode(x, add_special_tokens=False).ids for x in texts]
