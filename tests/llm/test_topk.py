@@ -39,3 +39,27 @@ def test_same_as_plain(spark):
         assert sorted(map(tuple, got.collect())) == sorted(plain(vectors, 5, 50))
     assert topk.top_k(table.where("vec_id < 3")).count() == 2
     assert topk.top_k(table.where("false")).count() == 0
+
+
+def test_every_finite_vector(spark):
+    """Components of any size, and rows of equal id, against Python's integers."""
+    ready(spark)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(9)]) for i in range(120)]
+    rows += [(200 + i, [rng.gauss(0, 1) * 10.0 ** rng.randrange(2, 307) for _ in range(rng.choice([9, 10]))]) for i in range(60)]
+    rows += [(150, [1.0]), (151, [float(1 << 20)]), (152, [5.0]), (153, [float((1 << 54) + 2)]), (154, [-0.0] * 9), (155, [0.0] * 9)]
+    rows += [(60, [3.0] * 9), (60, [-3.0] * 9), (61, [9.0] * 9)] + [(62, [8.5] * 9)] * 7 + [(100, [2.0] * 9)] * 2
+    exact = [(i, [int(np.floor(256 * c)) if abs(c) < 1 << 53 else 256 * int(c) for c in x]) for i, x in rows]
+    want = []
+    for q in {i for i, _ in rows if i % 50 == 0 or i == 60}:
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), v) for i, a in exact if i == q for v, b in exact if v != q)
+        want += [(q, r + 1, v, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, v) in enumerate(scores[:5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block_rows in (16, 8192):
+        got = sorted(map(tuple, topk.top_k(table, block_rows=block_rows, every=10, beyond_long=True).where("query_id % 50 = 0 OR query_id = 60").collect()))
+        assert got == sorted(want)
+
+
+def test_embeddings_with_a_large_component_take_part(spark):
+    rows = ready(spark).createDataFrame([(50, [1.0]), (51, [float(1 << 20)]), (52, [5.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(rows).collect())) == [(50, 1, 51, 1 << 36), (50, 2, 52, 256 * 256 * 5)]
