@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from siltstone.llm.linededup import LineRuns, document_lines, drop_frequent_lines
+from siltstone.llm.linededup import LineRuns, dealt_alike, document_lines, drop_frequent_lines
 
 
 def plain(rows, least):
@@ -43,3 +43,34 @@ def test_incremental_feed(docs):
         assert {bytes(r.key_hash) for r in runs.ingest(batch).collect()} == own - seen
         seen |= own
     assert sum(r.count() for r in runs.runs()) >= len(seen)
+
+
+def test_settled_keys_leave_later_batches(spark, docs):
+    lines, runs = document_lines(docs.where("doc_id IS NOT NULL")).cache(), LineRuns(fanout=2, min_docs=3)
+    counts = Counter(bytes(r.key_hash) for r in lines.collect())
+    for k in range(6):
+        runs.add(lines.where(f"pmod(doc_id, 6) = {k}"))
+    found = [bytes(r.key_hash) for r in runs.frequent(3).collect()]
+    assert sorted(found) == sorted(k for k, n in counts.items() if n >= 3)
+    settled = {bytes(r.key_hash) for run in runs.settled for r in run.collect()}
+    assert settled and settled <= set(found)
+    assert not settled & {bytes(r.key_hash) for r in runs._open(lines.select("key_hash")).collect()}
+
+
+def test_batches_meet_the_runs_without_an_exchange_of_theirs(spark, docs, capsys):
+    lines, runs = document_lines(docs).cache(), LineRuns(fanout=2, min_docs=2)
+    runs.add(lines)
+    with dealt_alike(spark):
+        runs._open(lines.groupBy("key_hash").count()).explain()
+        runs._merged([runs.runs()[0], runs.runs()[0]]).explain()
+    met, merged = capsys.readouterr().out.split("== Physical Plan ==")[1:]
+    assert "SortMergeJoin" in met and "LeftAnti" in met and met.count("Exchange") == 1
+    assert "Exchange" not in merged
+
+
+def test_rows_without_or_with_one_id(spark):
+    shared = "a line that all have"
+    rows = [(None, f"{shared}\nn{k}") for k in range(6)] + [(7, f"{shared}\ns{k}") for k in range(5)] + [(8, "own\n" + shared.upper())] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_frequent_lines(df).collect()), key=repr)
+    assert got == sorted(plain(df.collect(), 10), key=repr) and all(r[3] == 1 for r in got)
