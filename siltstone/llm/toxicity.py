@@ -2,7 +2,7 @@
 
 Whether a text holds an n-gram (3 to 6 letters and word ends, hashed) is a feature. Each bucket's
 counts in toxic and other texts give its log-count ratio; the buckets whose ratio is surest are kept. A logistic
-regression over presence times ratio is trained on them. All training is on a bounded sample of labelled rows, about
+regression over presence times ratio is trained on them, in which both classes weigh alike however many rows each has. All training is on a bounded sample of labelled rows, about
 `per_class` of each class, drawn by a hash of the doc_id.
 """
 
@@ -52,7 +52,7 @@ class ToxicityModel:
 def log_count_ratios(labelled: DataFrame, bits: int = BITS, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
     """The buckets kept and their log-count ratios, from all of `labelled` (text, toxic).
 
-    The driver gets the buckets that toxic texts hold at least five times: 2^bits rows of 24 bytes at most.
+    The driver gets the buckets that the sample's texts hold: 2^bits rows of 24 bytes at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def log_count_ratios(labelled: DataFrame, bits: int = BITS, kept: int = KEPT) ->
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "other", "toxic"])
 
     counts = labelled.select("text", "toxic").mapInArrow(count, "bucket long, other long, toxic long")
-    got = counts.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).where("toxic >= 5 OR bucket = -1").toArrow()
+    got = counts.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, other, toxic = (got[c].to_numpy() for c in ("bucket", "other", "toxic"))
     totals = bucket == -1
     n_other, n_toxic = int(other[totals].sum()), int(toxic[totals].sum())
@@ -80,8 +80,8 @@ def log_count_ratios(labelled: DataFrame, bits: int = BITS, kept: int = KEPT) ->
 
 
 def train_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression over presence times `scale`, by accelerated descent."""
-    n = max(1, len(rows))
+    """Weights and bias of a logistic regression over presence times `scale`, by accelerated descent; classes weigh alike."""
+    own = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     at, of = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     x = scale[at]
     forward = lambda w, bias: np.bincount(of, w[at] * x, len(rows)) + bias
@@ -90,12 +90,12 @@ def train_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, pen
     v, v_bias, largest = np.ones(len(scale)), 1.0, 1.0
     for _ in range(15):
         size = float(np.sqrt(v @ v + v_bias**2)) or 1.0
-        v, v_bias = backward(forward(v / size, v_bias / size) / n)
+        v, v_bias = backward(forward(v / size, v_bias / size) * own)
         largest = float(np.sqrt(v @ v + v_bias**2))
     step = 1 / (largest / 4 * 1.1 + penalty)
     w, bias, ahead, ahead_bias, t = np.zeros(len(scale)), 0.0, np.zeros(len(scale)), 0.0, 1.0
     for _ in range(steps):
-        error = (1 / (1 + np.exp(-np.clip(forward(ahead, ahead_bias), -30, 30))) - y) / n
+        error = (1 / (1 + np.exp(-np.clip(forward(ahead, ahead_bias), -30, 30))) - y) * own
         down, down_bias = backward(error)
         new, new_bias = ahead - step * (down + penalty * ahead), ahead_bias - step * down_bias
         next_t = (1 + (1 + 4 * t * t) ** 0.5) / 2
