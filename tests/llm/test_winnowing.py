@@ -62,3 +62,25 @@ def test_with_fingerprints_keeps_columns(docs):
     got = winnowing.with_fingerprints(docs)
     assert got.columns == [*docs.columns, "fingerprint"] and got.count() == docs.count()
     assert hashlib.sha256(b"").hexdigest() == docs.select(winnowing.digest(winnowing.fingerprint(F.lit(None).cast("string"))).alias("d")).first().d
+
+
+def test_rolling_hash(spark):
+    rows = spark.createDataFrame([(" ".join(f"w{i % 13}" for i in range(n)),) for n in (0, 1, 2, 3, 4, 5, 6, 9, 40)], "text string")
+    for gram in (1, 2, 3, 5, 6, 7, 8, 13):
+        one = F.transform(winnowing.words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(winnowing.PRIME)))
+        grams = winnowing.gram_hashes(winnowing.words(F.col("text")), gram)
+        for r in rows.select(one.alias("one"), grams.alias("grams")).collect():
+            runs = [r.one[i : i + gram] for i in range(max(1, len(r.one) - gram + 1))] if r.one else []
+            want = [sum(h * winnowing.BASE ** (len(x) - 1 - k) for k, h in enumerate(x)) % winnowing.PRIME for x in runs]
+            assert [x >> 31 for x in r.grams] == want and [(1 << 31) - 1 - (x & (1 << 31) - 1) for x in r.grams] == list(range(len(want)))
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "SPLIT_ROWS", 8)
+    rows = [(None, f"n{k}") for k in range(60)] + [(5, f"f{k}") for k in range(40)] + [(6, f"s{k % 9}") for k in range(40)] + [(70, "last")]
+    placed = winnowing.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({(r.block.ids, r.block.part) for r in placed}) > 12
+    order = sorted(placed, key=lambda r: (r.block.ids, r.block.part, r.row))
+    assert [r.next_text for r in order] == [r.text for r in order[1:] + order[:1]]
+    assert [r.doc_id for r in order if r.doc_id is not None] == sorted(d for d, _ in rows if d is not None)
+    assert sorted((str(r.doc_id), r.text) for r in placed) == sorted((str(d), t) for d, t in rows)
