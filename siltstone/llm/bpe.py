@@ -169,4 +169,5 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of `documents`, by encode_texts(), which states the odd cases."""
     return digests(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -4,6 +4,7 @@ A text becomes counts of hashed letter 1- to 3-grams. Linear support vector mach
 language family; within the family one-versus-one machines separate the languages, each pair casting a vote, equal votes
 going to the larger sum of margins. The machines are trained on a bounded sample of labelled rows: about `per_language`
 rows of each language, and `sample_rows` in all, drawn by a hash of the doc_id at a rate that counts over all rows set.
+Of very many values of lang, as a noisy column may have, the `CLASSES` with most rows are learned.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .grams import code_points, gram_buckets, letters
 
 #: Labelled rows to train on: of a language, and in all. Bits of a bucket. Passes and cost of the machines.
 PER_LANGUAGE, SAMPLE_ROWS, BITS, EPOCHS, COST = 400, 4000, 12, 12, 4.0
+#: Values of a label that are learned at most, those with most rows first.
+CLASSES = 200
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code; a code that isn't here is a family of its own.
 FAMILIES = {
@@ -93,6 +96,11 @@ class LanguageModel:
                 pairs[a, b] = train_svm(x[rows], np.where(names[rows] == a, 1, -1))
         return cls(families, own, rest, pairs, bits)
 
+    @property
+    def guess(self) -> float:
+        """The score of a mere guess among the languages learned."""
+        return 1 / max(1, sum(map(len, self.langs.values())))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and a score from 0 to 1, the chance that the deciding machines give it."""
         row = features(text, self.bits) if text and self.families else None
@@ -120,15 +128,17 @@ def _chance(margin: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(2 * margin, -30, 30))))
 
 
-def sampled(rows: DataFrame, by: str, per_class: int, in_all: int, key: str = "doc_id") -> DataFrame:
-    """About `per_class` rows of each value of `by` and about `in_all` in all, by a hash of `key`; the driver gets a count a class."""
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+def sampled(rows: DataFrame, by: str, per_class: int, in_all: int, key: str = "doc_id", classes: int = CLASSES) -> DataFrame:
+    """About `per_class` rows of each value of `by` and about `in_all` in all, by a hash of `key`.
+
+    Of the values the `classes` with most rows count, equal ones in order of value; the driver gets a count of each.
+    """
+    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(classes).collect()
     if not counts:
         return rows
     each = min(per_class, max(1, in_all // len(counts)))
-    rate: Column = F.lit(0.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, each / n))])
+    rate = F.coalesce(rates[F.col(by)], F.lit(-1.0))
     return rows.where((F.xxhash64(F.lit("sample"), F.col(key)) / float(1 << 64) + 0.5) <= rate)
 
 
@@ -172,6 +182,10 @@ def fold(docs: DataFrame, n: int) -> Column:
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of `documents`, learned from the rows that aren't held out.
+
+    identify() states the odd cases; a null doc_id counts as an empty text for the fold. An empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(docs, 4) == 2
     model = train(docs.where(~held_out))

@@ -65,6 +65,7 @@ def mix(slim: DataFrame) -> DataFrame:
 
     Weights are positive. Documents go whole; the last one in is the one that brings its source nearest its target. Rows
     of equal doc_id have equal keys and stay rows of their own; null sources are a source of their own, last in order.
+    Texts without a word are taken no time. An empty table gives an empty one.
     """
     lightest = slim.agg(F.min("weight")).first()[0] or 1.0
     sources = cut(source_targets(slim))
@@ -109,6 +110,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of `documents`, by mix(), which states the odd cases."""
     slim = weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mix(slim).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

@@ -268,5 +268,6 @@ def _least(groups: DataFrame) -> DataFrame:
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of `documents`, by near_duplicates(), which states the odd cases."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -156,6 +156,10 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", t
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of `documents`, learned from labels that aren't held out.
+
+    labelled_sample() and score_texts() state the odd cases; a null doc_id has no label. An empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(docs, 3) == 1
     labels = table(spark, sf_dir, "labels")
