@@ -10,20 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, langid, linededup, mixing, simhash
-from siltstone.llm.common import cut, ready, table
+from siltstone.llm.common import cut, ready, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told: null texts and texts without a letter."""
+    """Tells each document's language, which becomes its `lang`, and rejects those that it can't tell.
+
+    Rejected are null texts, texts without a letter, and texts whose score is under one in the number of languages
+    learned, so no better than a guess. A text in any of the languages stays, whatever `lang` said. Rows count each,
+    repeated ones and null ids too. Where no row has a `lang` nothing is learned and all are rejected; an empty table
+    gives an empty one. Columns beyond those of `documents` are left out.
+    """
     ready(spark)
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    return langid.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    told = langid.identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= model.guess))
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more hold. A document that loses all its lines stays, with an empty text."""
+    """Drops lines that ten documents or more hold. A document that loses all its lines stays, with an empty text.
+
+    Every row is a document, repeated ones and null ids too; a null text becomes an empty one. n_chars counts what is left.
+    An empty table gives an empty one.
+    """
     ready(spark)
     kept = linededup.drop_frequent_lines(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -42,22 +53,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS).withColumn("row", row)
     fps = cut(simhash.fingerprints(docs, "row"))
     keep = simhash.leaders(fps).withColumnRenamed("component_id", "kept_row")
-    kept = docs.join(keep, F.col("row") == F.col("kept_row"), "left_semi")
-    return (kept.dropDuplicates(["row"]) if _repeats(fps) else kept).select(*COLUMNS)
-
-
-def _repeats(fps: DataFrame) -> bool:
-    """Whether a row stands more than once; the texts are only dealt by it where one does."""
-    return bool(fps.groupBy("doc_id").count().where("count > 1").take(1))
+    # Rows alike in every column are one. The join has dealt the texts by row already, so this doesn't deal them again.
+    return docs.join(keep, F.col("row") == F.col("kept_row"), "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes sources to their targets: documents that the mix leaves out go, those it takes more than once come as often."""
+    """Mixes sources to their targets: documents that the mix leaves out go, those it takes more than once come as often.
+
+    Documents weigh by the labels table. Null sources are a source of their own; texts without a word aren't taken. Rows
+    alike in doc_id, source and size are taken alike. An empty table gives an empty one.
+    """
     return mixing.mix_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and digests of ids and decoded bytes."""
+    """Ids of every text, and digests of ids and decoded bytes; a null text is an empty one. Rows stay each."""
     ready(spark)
     return bpe.digests(bpe.encode_texts(docs.select("doc_id", "text")))
 
@@ -70,15 +80,16 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Language ID learns, SimHash links transitively and BPE merges: SQL can't express those stages; tests hold them to plain versions.
+#: Language ID learns, SimHash links transitively and BPE merges: SQL can't express those stages. tests/llm/test_pipeline.py
+#: holds the stages, and all of them together, to plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`. A stage's rows are kept in the shared folder, as Parquet would keep them."""
+    """All stages over `documents`. A stage's rows are a Parquet table in the shared folder, which the next one reads."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = stored(docs)
     return docs
