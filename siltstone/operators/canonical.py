@@ -210,9 +210,10 @@ def readers(rules: Rules, declarations, normalize: bool, pinned: str, test_where
 
 def detect_formats(lines: DataFrame, rules: Rules = NO_RULES) -> DataFrame:
     """(stream_id, format): the format of the largest sum of confidences over each stream's lines; ties in a fixed order."""
-    from ..functions.formats import FORMAT_ORDER, Detector
+    from ..functions.formats import Detector
 
     custom = rules.formats
+    names = Detector(custom).order()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(custom)
@@ -228,7 +229,7 @@ def detect_formats(lines: DataFrame, rules: Rules = NO_RULES) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("stream_id", pa.string()), ("format", pa.string()), ("score", pa.int64())]))
 
     sums = with_bytes(lines).mapInArrow(score, "stream_id string, format string, score long").groupBy("stream_id", "format").agg(F.sum("score").alias("score"))
-    order = F.array_position(F.array(*map(F.lit, FORMAT_ORDER)), F.col("format"))
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("format"))
     best = F.max_by("format", F.struct((F.col("format") != "RawText") & (F.col("score") > 0), "score", -order))
     return sums.where("score > 0 OR format = 'RawText'").groupBy("stream_id").agg(best.alias("format"))
 

@@ -30,6 +30,21 @@ def top_templates(events: DataFrame, k: int = 15) -> DataFrame:
     return template_counts(events).orderBy(F.desc("n"), "template_str").limit(k)
 
 
+def compare_templates(events: DataFrame, side: str, before: str, after: str) -> DataFrame:
+    """(template_str, n_before, n_after): how often each template occurs where column `side` is `before` and where it is `after`.
+
+    One aggregation over both runs, rather than a full join of two.
+    """
+    n = lambda k: F.count_if(F.col(side) == k)
+    rows = events.where(F.col("no_event_reason").isNull() & F.col(side).isin(before, after))
+    return rows.groupBy("template_str").agg(n(before).alias("n_before"), n(after).alias("n_after"))
+
+
+def singletons(events: DataFrame, *by: str) -> DataFrame:
+    """template_counts() of the tail: the templates that one line alone has."""
+    return template_counts(events, *by).where("n = 1")
+
+
 def cardinality(events: DataFrame, *by: str) -> DataFrame:
     """(by..., lines, templates, singletons): how many templates there are, and how many occur once."""
     counts = template_counts(events, *by)

@@ -169,15 +169,15 @@ _EPOCH = "unix_seconds(cast(ts as timestamp))"
 _NULL = "NULL::BIGINT"
 
 
-def _format_case(name: str, line: str, level: str, declared: str, component: str = "''", host: str = "''", template: str = _SAID_T, ns: str = _NS, rules: bool = False):
+def _format_case(name: str, line: str, level: str, declared: str, component: str = "''", host: str = "''", template: str = _SAID_T, ns: str = _NS, rules: bool = False, layout: str = "", pinned: str = ""):
     sql = f"""WITH e AS (SELECT event_id, '{name}' AS format, {level} AS level, {declared} AS declared_level, {component} AS component, {host} AS host,
 {template} AS template_str, {ns} AS timestamp_ns FROM events) SELECT *, 'h:' || substr(sha256(template_str), 1, 32) AS template_id FROM e"""
 
     def run(spark, sf_dir):
-        events = canonical.canonicalize(event_lines(spark, sf_dir, line), all_rules() if rules else NO_RULES)
+        events = canonical.canonicalize(event_lines(spark, sf_dir, line), all_rules() if rules else NO_RULES, pinned=pinned)
         return events.select(F.col("line_no").alias("event_id"), "format", "level", "declared_level", "component", "host", "template_str", "timestamp_ns", "template_id")
 
-    query(f"format_{name.lower()}", sql)(run)
+    query(f"format_{name.lower()}{layout}", sql)(run)
 
 
 _PRIORITY = "CASE event_id % 8 WHEN 0 THEN 'Fatal' WHEN 1 THEN 'Fatal' WHEN 2 THEN 'Fatal' WHEN 3 THEN 'Error' WHEN 4 THEN 'Warn' WHEN 7 THEN 'Debug' ELSE 'Info' END"
@@ -241,6 +241,23 @@ _format_case(
 )
 _format_case("GitLab", f"concat({_ISO_T}, '.123456Z 01O ', {_SAID})", _INFERRED, "false", rules=True)
 
+# The other layouts of formats that have several. Compact HDFS lines have no candidate: they need the format set.
+_format_case("Log4j", f"concat({_ISO}, ',123 - WARN  [main:Q[a[1]]@12] - ', {_SAID})", "'Warn'", "true", "'main:Q[a[1]]@12'", layout="_dash")
+_format_case("Log4j", f"concat('nova-api.log.1 ', {_ISO}, '.008 25746 INFO nova.osapi [req-', event_id, ' - -] ', {_SAID})", "'Info'", "true", "'nova.osapi'", layout="_file")
+_format_case("SparkHDFS", f"concat({_D('yyMMdd HHmmss')}, ' 148 INFO dfs.Data: ', {_SAID})", "'Info'", "true", "'dfs.Data'", layout="_compact", pinned="SparkHDFS")
+_format_case("IISW3C", f"concat({_ISO}, ' GET /index - ', {_STATUS})", _STATUS_LEVEL, "true", "'IIS'", template="'GET /index - <*>'", layout="_method")
+_format_case("RFC5424", f"concat('<', 8 + event_id % 8, '>1 ', {_ISO_T}, 'Z host1 api 77 ID4 [ex@1 a=\"b\" c=\"', user_id, '\"] ', {_SAID})", _PRIORITY, "true", "'api'", layout="_data")
+_format_case(
+    "CLF",
+    f"concat('10.0.0.1 - - [', {_D('dd/MMM/yyyy:HH:mm:ss')}, ' ', if(event_id % 2 = 0, '+0230', '-0800'), '] \"GET /u/', user_id, ' \\\\\"q\\\\\" HTTP/1.1\" ', {_STATUS}, ' 512')",
+    _STATUS_LEVEL,
+    "true",
+    host="'10.0.0.1'",
+    template="'GET /u/<*> <*>'",
+    ns=f"{_NS} + CASE event_id % 2 WHEN 0 THEN -9000 ELSE 28800 END::BIGINT * 1000000000",
+    layout="_zone",
+)
+
 
 @query(
     "format_detect_batch",
@@ -291,6 +308,36 @@ def stream_yearless(spark, sf_dir):
     return canonical.canonicalize(rows, mode="stream").select("line_no", "timestamp_ns")
 
 
+def _yearless_case(name: str, line: str, ns: str):
+    """A stream alternates dated lines with stamps without a year, which follows from the line before."""
+
+    def run(spark, sf_dir):
+        dated = f"CASE WHEN event_id % 2 = 0 THEN concat({_ISO_T}, 'Z web01 app: ', {_SAID}) ELSE {line} END"
+        events = canonical.canonicalize(event_lines(spark, sf_dir, dated, "event_id div 2", "event_id"), mode="stream")
+        return events.select("line_no", "format", "timestamp_ns")
+
+    first = "CASE WHEN event_id % 2 = 0 THEN 'Syslog' ELSE"
+    query(f"stream_{name.lower()}", f"SELECT event_id AS line_no, {first} '{name}' END AS format, CASE WHEN event_id % 2 = 0 THEN {_NS} ELSE {ns} END AS timestamp_ns FROM events")(run)
+
+
+_yearless_case("AndroidLogcat", f"concat({_D('MM-dd HH:mm:ss')}, '.123  12  34 W Radio: ', {_SAID})", f"{_NS} + 123000000")
+_yearless_case("Proxifier", f"concat('[', {_D('MM.dd HH:mm:ss')}, '] chrome.exe - ', {_SAID})", _NS)
+
+
+@query("stream_pinned", "SELECT event_id AS line_no, 'JSON' AS format FROM events")
+def stream_pinned(spark, sf_dir):
+    """A format that is set holds for every line, also where a line by itself would go elsewhere."""
+    rows = event_lines(spark, sf_dir, "concat('{\"logGroup\":\"g\",\"message\":\"m', event_id, '\"}')")
+    return canonical.canonicalize(rows, pinned="JSON").select("line_no", "format")
+
+
+@query("stable_lines", "SELECT event_id AS line_no, 'x' || chr(27) || '[0m <*>' AS template_str, 'x' || chr(27) || '[0m ' || user_id AS content FROM events")
+def stable_lines(spark, sf_dir):
+    """Lines that are stable already keep their escapes."""
+    rows = event_lines(spark, sf_dir, "concat('x', char(27), '[0m ', user_id)")
+    return canonical.canonicalize(rows, normalize=False).select("line_no", "template_str", "content")
+
+
 @query(
     "stream_split",
     f"""SELECT event_id AS line_no, CASE WHEN event_id % 5 <> 0 THEN (sum(CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) - 1)::BIGINT ELSE -1 END AS id,
@@ -518,12 +565,25 @@ _MASKED = {
     "status_kept": ("concat('exit code ', event_id % 1000, ' then status (', event_id % 7, '), took ', event_id, 'ms')", "'exit code ' || (event_id % 1000) || ' then status (' || (event_id % 7) || '), took <*>'"),
     "json_order": ("concat('{\"b\": ', event_id % 3, ', \"a\": \"', event_type, '\"}')", "'{\"a\": \"' || event_type || '\", \"b\": <*>'"),
 }
+_MASKED |= {
+    "versions": ("concat('uses pkg/core/', event_id, '.2.', user_id, ' at [', stamp_, 'Z] now')", "'uses pkg/core/<*> at [<*>] now'"),
+    "roots": (
+        "concat('in /var/tmp/x', event_id, '/y /var/folders/a', event_id, '/c /private/var/folders/q/z', event_id, ' /private/tmp/k', user_id, ' /nix/store/a', event_id, '-x/bin/sh h/.conan2/p/b/a', event_id, '/x n/global/v11/a', event_id, '/x')",
+        "'in /var/tmp/<*> /var/folders/<*> /private/var/folders/<*> /private/tmp/<*> /nix/store/<*>/bin/sh h/.conan2/p/b/<*>/x n/global/v11/<*>/x'",
+    ),
+    "temp_folder": ("concat('wrote C:', char(92), 'Users', char(92), 'me', char(92), 'AppData', char(92), 'Local', char(92), 'Temp', char(92), 'x', event_id)", "'wrote C:\\Users\\me\\AppData\\Local\\Temp\\<*>'"),
+    "hardware": (
+        "concat('mac 00:1a:2b:3c:4d:', lower(lpad(hex(event_id % 256), 2, '0')), ' and 001a.2b3c.', lower(lpad(hex(event_id % 65536), 4, '0')), ' or 00-1a-2b-3c-4d-', lower(lpad(hex(event_id % 256), 2, '0')), ' up')",
+        "'mac <*> and <*> or <*> up'",
+    ),
+    "segments": ("concat('set a=', event_id, ';b=', user_id, ';c=', event_type, ' done')", "'set a=<*>;b=<*>;c=' || event_type || ' done'"),
+}
 _UUID = "regexp_replace(md5(cast(event_id as string)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '$1-$2-$3-$4-$5')"
 
 
 def _mask_case(name: str, line: str, template: str):
     def run(spark, sf_dir):
-        rows = event_lines(spark, sf_dir, line.replace("uuid_", _UUID))
+        rows = event_lines(spark, sf_dir, line.replace("uuid_", _UUID).replace("stamp_", _STAMP))
         return canonical.canonicalize(rows, pinned="none").select(F.col("line_no").alias("event_id"), "template_str", F.size("params").cast("long").alias("n_params"))
 
     count = "len(list_filter(string_split(template_str, ' '), lambda x: x = '<*>'))"
@@ -620,7 +680,18 @@ def projection(spark, sf_dir):
     return p.select(F.col("line_no").cast("string").alias("line_no"), "template_str", "params", "trace", "ordinals", "timestamp_ns", "level", "id")
 
 
-@query("projection_digests")
+_CELLS_SQL = f"""SELECT event_type AS stream_id, event_id, {{'id': (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::VARCHAR, 'timestamp_ns': '', 'declared_timestamp': '0', 'level': {_INFERRED},
+'declared_level': '0', 'format': 'RawText', 'component': '', 'host': '', 'template_str': {_SAID_T}, 'params': '1|' || user_id, 'structural_role': 'None', 'trace': '0,0,0,0,0,0', 'ordinals': '0', 'linked_span_ids': '0',
+'echoed_source': '0', 'no_role_witness_key': ''}} AS cells FROM events"""
+
+
+@query(
+    "projection_digests",
+    f"""WITH c AS ({_CELLS_SQL}), m AS (SELECT stream_id, event_id, unnest(map_entries(MAP(['id', 'timestamp_ns', 'declared_timestamp', 'level', 'declared_level', 'format', 'component', 'host', 'template_str', 'params',
+'structural_role', 'trace', 'ordinals', 'linked_span_ids', 'echoed_source', 'no_role_witness_key'], [cells.id, cells.timestamp_ns, cells.declared_timestamp, cells.level, cells.declared_level, cells.format, cells.component,
+cells.host, cells.template_str, cells.params, cells.structural_role, cells.trace, cells.ordinals, cells.linked_span_ids, cells.echoed_source, cells.no_role_witness_key]))) AS e FROM c)
+SELECT stream_id, e.key AS member, substr(sha256(string_agg(e.value || chr(10), '' ORDER BY event_id)), 1, 32) AS digest, count(*) AS events FROM m GROUP BY ALL""",
+)
 def projection_digests(spark, sf_dir):
     """A digest of each member over a stream's rows in order; tests hold it to hashlib."""
     return reports.digests(canonical.projection(canonical.canonicalize(event_lines(spark, sf_dir, _SAID, "event_type"), mode="stream")))
@@ -658,16 +729,36 @@ def projection_digests_by_arm(spark, sf_dir):
 
 
 @query(
-    "template_comparison",
-    """WITH t AS (SELECT event_id % 2 AS run, 'user <*> did ' || event_type || CASE WHEN event_id % 7 = 0 THEN ' again' ELSE '' END AS template_str FROM events WHERE event_id % 14 <> 0),
-a AS (SELECT template_str, count(*) AS n FROM t WHERE run = 0 GROUP BY 1), b AS (SELECT template_str, count(*) AS n FROM t WHERE run = 1 GROUP BY 1)
-SELECT coalesce(a.template_str, b.template_str) AS template_str, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM a FULL JOIN b ON a.template_str = b.template_str""",
+    "template_runs",
+    """WITH t AS (SELECT event_id % 2 AS run, 'user <*> did ' || event_type || CASE WHEN event_id % 14 = 7 THEN ' again' ELSE '' END AS template_str FROM events)
+SELECT template_str, count(*) FILTER (WHERE run = 0) AS n_before, count(*) FILTER (WHERE run = 1) AS n_after FROM t GROUP BY template_str""",
 )
-def template_comparison(spark, sf_dir):
-    """Two runs side by side, from one aggregation over both rather than a full join of two."""
-    rows = table(spark, sf_dir, "events").where("event_id % 14 <> 0").select(
-        (F.col("event_id") % 2).cast("string").alias("stream_id"), F.col("event_id").alias("line_no"), F.expr(f"concat({_SAID}, if(event_id % 7 = 0, ' again', ''))").alias("raw")
+def template_runs(spark, sf_dir):
+    """Two runs side by side: the events of even and of odd numbers, of which the odd ones alone say 'again'."""
+    line = f"concat({_SAID}, if(event_id % 14 = 7, ' again', ''))"
+    events = canonical.canonicalize(event_lines(spark, sf_dir, line, "event_id % 2"))
+    return reports.compare_templates(events, "stream_id", "0", "1")
+
+
+@query(
+    "template_tail",
+    "SELECT 'item <*> part ' || translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') AS template_str FROM part",
+)
+def template_tail(spark, sf_dir):
+    """Templates that one line has."""
+    line = "concat('item ', p_size, ' part ', translate(cast(p_partkey as string), '0123456789', 'abcdefghij'))"
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.lit("p").alias("stream_id"), F.col("p_partkey").alias("line_no"), F.expr(line).alias("raw"))
+    return reports.singletons(canonical.canonicalize(rows)).select("template_str")
+
+
+@query(
+    "level_verdicts",
+    """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'Error' WHEN 4 THEN 'Warn' ELSE 'Unknown' END AS level FROM events""",
+)
+def level_verdicts(spark, sf_dir):
+    """Glyphs and leading verdicts against failure words, and a compiler's note beside its error."""
+    line = (
+        "CASE event_id % 5 WHEN 0 THEN concat('\u2713 handles error of ', event_type) WHEN 1 THEN concat('\u2717 page of ', event_type) WHEN 2 THEN concat('PASS error handler ', event_type) "
+        "WHEN 3 THEN concat('x.cc:', event_id, ': note: error was here') ELSE concat('x.cc:', event_id, ': error: bad') END"
     )
-    counts = reports.template_counts(canonical.canonicalize(rows), "stream_id").groupBy("template_str")
-    side = lambda k: F.coalesce(F.sum(F.when(F.col("stream_id") == k, F.col("n"))), F.lit(0))
-    return counts.agg(side("0").alias("n_before"), side("1").alias("n_after"))
+    return canonical.canonicalize(event_lines(spark, sf_dir, line)).select(F.col("line_no").alias("event_id"), "level")

@@ -28,9 +28,9 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*", r
 
 
 def write_templates(events: DataFrame, path: str) -> None:
-    """A text file of one template to each line, in order, empty where a line had no event. One file: meant for reports."""
+    """Text of one template to each line, empty where a line had no event, in order within and over the files."""
     ordered = events.orderBy("stream_id", "line_no").select(F.coalesce("template_str", F.lit("")).alias("value"))
-    ordered.coalesce(1).write.mode("errorifexists").text(path)
+    ordered.write.mode("errorifexists").text(path)
 
 
 def write_projection(projected: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from siltstone.functions import identity, lines, records, times
-from siltstone.functions.formats import Detector, candidates
+from siltstone.functions.formats import Detector, Format, Parsed, candidates
 from siltstone.functions.levels import infer_level, is_error_type, level_of, level_of_severity_number
 from siltstone.operators.stream import Declaration, Reader, State, project
 from siltstone.plans import walkers
@@ -264,3 +264,11 @@ def test_decoder_and_member_reader_agree():
         whole = records.tree(text)
         flat = lambda own: [(n, k, [(a, b) for a, b in v if isinstance(b, str) and not isinstance(b, records._Number)] if k == "object" else v) for n, k, v in own if k != "array"]
         assert flat(whole) == flat(by_member)
+
+
+def test_batches_know_registered_formats():
+    mine = Format("Mine", lambda line: 0.9 if line.startswith("@@") else 0.0, lambda line: Parsed(line))
+    d = Detector([mine])
+    assert d.order()[-1] == "Mine" and d.detect_batch(["@@ a", "@@ b", "a=1"]).name == "Mine"
+    tied = Detector([Format("Other", lambda line: Detector().scores(line).get("KeyValue", 0.0), lambda line: Parsed(line))])
+    assert tied.detect_batch(["a=1 b=2"]).name == "KeyValue"
