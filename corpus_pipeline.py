@@ -49,7 +49,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a similarity of 0.8; recall at that similarity isn't measured.
     """
     ready(spark)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.unhex(F.md5("text")).alias("digest"), "lang", "source", "n_chars")
+    # True or null, so that the type is the same on both sides of the join and no cast hides how the texts are dealt.
+    no_id = F.when(F.col("doc_id").isNull(), True).alias("no_id")
+    row = F.struct(no_id, "doc_id", F.unhex(F.md5("text")).alias("digest"), "lang", "source", "n_chars")
     docs = docs.select(*COLUMNS).withColumn("row", row)
     fps = cut(simhash.fingerprints(docs, "row"))
     keep = simhash.leaders(fps).withColumnRenamed("component_id", "kept_row")
