@@ -120,7 +120,7 @@ def latin_lines(batch: pa.RecordBatch) -> Iterator[tuple[str, int, str]]:
 def canonicalize(
     lines: DataFrame,
     rules: Rules = NO_RULES,
-    declarations: Declaration | Mapping[str, Declaration] = Declaration(),
+    declarations: Declaration | Mapping[str, Declaration] | DataFrame = Declaration(),
     mode: str = "stateless",
     normalize: bool = True,
     pinned: str = "",
@@ -130,7 +130,9 @@ def canonicalize(
 ) -> DataFrame:
     """A row of EVENT_DDL to each line, in no order. Null raw bytes are an empty line.
 
-    `declarations` is one for all streams, or one by stream_id (streams that it doesn't name declare nothing).
+    `declarations` is one for all streams, or one by stream_id (streams that it doesn't name declare nothing), or a table
+    (stream_id, dialect, channel, transports array<string>, context map<string,string>) for any number of streams, which is
+    joined to the lines; see with_declarations().
     `contexts` (stream_id, line_no, context map<string,string>) declares contexts anew within streams: each replaces the
     stream's as a whole and the year to resolve by, for the lines from its line_no on. Events then have a last column,
     context: the one in force. Lines are dealt by stream for that, in stateless mode too.
@@ -143,6 +145,8 @@ def canonicalize(
     arrow, ddl = EVENT_ARROW, EVENT_DDL
     if contexts is not None:
         lines, arrow, ddl = with_contexts(lines, contexts), CONTEXT_ARROW, CONTEXT_DDL
+    if isinstance(declarations, DataFrame):
+        lines = with_declarations(lines, declarations)
     if mode == "split":
         return canonicalize_split(lines, reader_of, event_row, arrow, ddl, chunk_lines)
     if contexts is not None:
@@ -154,15 +158,39 @@ def canonicalize(
         current, state, reader = object(), State(), None
         for batch in batches:
             rows = []
-            for stream, number, raw in latin_lines(batch):
+            for (stream, number, raw), said in zip(latin_lines(batch), declared(batch), strict=True):
                 if reader is None or stream != current:
-                    current, state, reader = stream, State(), reader_of(stream)
+                    current, state, reader = stream, State(), reader_of(stream, said)
                 rows.append(event_row(stream, number, *reader.read(raw, state), stateless))
             yield pa.RecordBatch.from_pylist(rows, schema=EVENT_ARROW)
 
     return lines.mapInArrow(read, EVENT_DDL)
 
 
+def with_declarations(lines: DataFrame, declarations: DataFrame) -> DataFrame:
+    """`lines` and, as `declared`, what their stream declares: a row of `declarations` as JSON, null where none names it.
+
+    An equi-join on stream_id: the table is broadcast only where the session's limit of size lets it, else both sides are
+    dealt by stream, and a stream with a large share of the lines is split by the adaptive join. Null members declare
+    nothing. Of several rows for one stream the one least as JSON counts. What a dialect or transport doesn't know fails the
+    job when the stream is read.
+    """
+    row = F.to_json(F.struct("dialect", "channel", "transports", "context"))
+    named = declarations.where("stream_id IS NOT NULL").groupBy(F.col("stream_id").cast("string").alias("stream_id")).agg(F.min(row).alias("declared"))
+    return lines.join(named, "stream_id", "left")
+
+
+def declared(batch: pa.RecordBatch) -> list[str | None]:
+    """The declarations of a batch's lines, null where lines have none of their own."""
+    return batch.column("declared").to_pylist() if "declared" in batch.schema.names else [None] * batch.num_rows
+
+
+def declaration_of(said: str) -> Declaration:
+    own = json.loads(said)
+    context = own.get("context") or {}
+    return Declaration(own.get("dialect") or "", own.get("channel") or "", tuple(own.get("transports") or ()), tuple(context.items()))
+
+
 def with_contexts(lines: DataFrame, contexts: DataFrame) -> DataFrame:
     """(stream_id, line_no, raw, said): `lines`, and `contexts` as rows with said, their context as JSON."""
     context = F.coalesce(F.to_json(F.col("context")), F.lit("{}"))
@@ -177,9 +205,10 @@ def _canonicalize_declared(lines: DataFrame, reader_of: Callable[[str], Reader],
         current, state, reader = object(), State(), None
         for batch in batches:
             rows = []
-            for stream, number, raw, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = (*(batch.column(c).to_pylist() for c in ("stream_id", "line_no", "raw", "said")), declared(batch))
+            for stream, number, raw, said, own in zip(*columns, strict=True):
                 if reader is None or stream != current:
-                    current, state, reader = stream, State(), reader_of(stream)
+                    current, state, reader = stream, State(), reader_of(stream, own)
                 if said is not None:
                     reader, state.year_reference = reader.declared(json.loads(said)), None
                     continue
@@ -191,18 +220,32 @@ def _canonicalize_declared(lines: DataFrame, reader_of: Callable[[str], Reader],
     return ordered.mapInArrow(read, CONTEXT_DDL)
 
 
-def readers(rules: Rules, declarations, normalize: bool, pinned: str, test_where: bool, stateless: bool) -> Callable[[str], Reader]:
-    """A function that gives a stream's reader, made once to a declaration and worker."""
-    if isinstance(declarations, Mapping):
+#: Readers that a worker keeps; each has a masker's memory.
+KEPT = 256
+
+
+def readers(
+    rules: Rules, declarations, normalize: bool = True, pinned: str = "", test_where: bool = False, stateless: bool = False
+) -> Callable[[str, str | None], Reader]:
+    """A function that gives a stream's reader, made once to a declaration and worker.
+
+    Its second argument is what with_declarations() found, which a table of declarations goes by.
+    """
+    if isinstance(declarations, DataFrame):
+        declarations = Declaration()  # the closure must not hold the table
+    elif isinstance(declarations, Mapping):
         for d in declarations.values():
             Reader(rules, d)  # a bad declaration fails here, not on an executor
     else:
         Reader(rules, declarations)
 
-    def of(stream: str, made: dict = {}) -> Reader:  # noqa: B006
-        d = declarations.get(stream, Declaration()) if isinstance(declarations, Mapping) else declarations
+    def of(stream: str, said: str | None = None, made: dict = {}) -> Reader:  # noqa: B006
+        by_name = declarations.get(stream, Declaration()) if isinstance(declarations, Mapping) else declarations
+        d = by_name if said is None else said
         if d not in made:
-            made[d] = Reader(rules, d, normalize, pinned, test_where, stateless)
+            if len(made) >= KEPT:
+                made.clear()
+            made[d] = Reader(rules, d if said is None else declaration_of(said), normalize, pinned, test_where, stateless)
         return made[d]
 
     return of

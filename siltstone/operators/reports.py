@@ -16,8 +16,8 @@ from ..functions.levels import LEVEL_WORDS, Line, lower
 from ..plans.packages import NO_RULES
 from ..plans.rules import Rules
 from ..plans.walkers import console_verdict, end_of, outcome_of_token, outcome_of_token_in, unit_of
-from .canonical import canonicalize, latin_lines, projection, utf8, with_bytes
-from .stream import CELLS, Declaration, Reader, State
+from .canonical import canonicalize, declaration_of, declared, latin_lines, projection, readers, utf8, with_bytes, with_declarations
+from .stream import CELLS, Declaration, State
 
 
 def template_counts(events: DataFrame, *by: str) -> DataFrame:
@@ -120,21 +120,22 @@ def digests(projected: DataFrame) -> DataFrame:
 # --- outcomes of runs
 
 
-def console_verdicts(lines: DataFrame, rules: Rules, declarations: Mapping[str, Declaration] | Declaration = Declaration()) -> DataFrame:
+def console_verdicts(lines: DataFrame, rules: Rules, declarations: Mapping[str, Declaration] | Declaration | DataFrame = Declaration()) -> DataFrame:
     """(stream_id, line_no, outcome, token) of each line that says an outcome; outcome is null where the token is to be read.
 
     A line is read in the parts between its carriage returns, by a reader of its own that keeps its format over the stream.
+    `declarations` are as for canonicalize().
     """
+    reader_of = readers(rules, declarations)
     schema = pa.schema([("stream_id", pa.string()), ("line_no", pa.int64()), ("outcome", pa.string()), ("token", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, reader, state = object(), None, State()
         for batch in batches:
             rows = []
-            for stream, number, raw in latin_lines(batch):
+            for (stream, number, raw), said in zip(latin_lines(batch), declared(batch), strict=True):
                 if reader is None or stream != current:
-                    own = declarations.get(stream, Declaration()) if isinstance(declarations, Mapping) else declarations
-                    current, reader, state = stream, Reader(rules, own), State()
+                    current, reader, state = stream, reader_of(stream, said), State()
                 best = None
                 for part in raw.split("\r"):
                     parsed = reader.parse(part, state)[0] if part else None
@@ -145,26 +146,38 @@ def console_verdicts(lines: DataFrame, rules: Rules, declarations: Mapping[str,
                     rows.append({"stream_id": stream, "line_no": number, "outcome": best[1] or None, "token": utf8(best[2])})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    dealt = with_bytes(lines).repartition("stream_id").sortWithinPartitions("stream_id", "line_no")
+    lines = with_bytes(lines)
+    lines = with_declarations(lines, declarations) if isinstance(declarations, DataFrame) else lines
+    dealt = lines.repartition("stream_id").sortWithinPartitions("stream_id", "line_no")
     return dealt.mapInArrow(scan, "stream_id string, line_no long, outcome string, token string")
 
 
 def run_outcomes(
     lines: DataFrame,
     rules: Rules,
-    declarations: Mapping[str, Declaration] | Declaration = Declaration(),
-    side_inputs: Mapping[str, tuple[str, str]] | None = None,
+    declarations: Mapping[str, Declaration] | Declaration | DataFrame = Declaration(),
+    side_inputs: Mapping[str, tuple[str, str]] | DataFrame | None = None,
 ) -> DataFrame:
     """(stream_id, outcome, console, authoritative, divergent, note) of each stream.
 
     The last line that says an outcome is the console's. A side input, (vocabulary, token) by stream, outranks it; a token
-    that its vocabulary doesn't have counts for nothing and is noted.
+    that its vocabulary doesn't have counts for nothing and is noted. `declarations` are as for canonicalize(). Side inputs
+    for any number of streams come as a table (stream_id, vocabulary, token), joined by stream; of several rows for one
+    stream the least counts, and a null vocabulary or token makes none.
     """
     said = console_verdicts(lines, rules, declarations)
     last = said.groupBy("stream_id").agg(F.max_by(F.struct("outcome", "token"), "line_no").alias("said"))
     streams = with_bytes(lines).select("stream_id").distinct().join(last, "stream_id", "left")
     rows = streams.select("stream_id", F.col("said").isNotNull().alias("marked"), "said.outcome", "said.token")
-    inputs = dict(side_inputs or {})
+    inputs: dict[str, tuple[str, str]] = {}
+    if isinstance(side_inputs, DataFrame):
+        side = side_inputs.where("stream_id IS NOT NULL AND vocabulary IS NOT NULL AND token IS NOT NULL")
+        side = side.groupBy(F.col("stream_id").cast("string").alias("stream_id")).agg(F.min(F.struct("vocabulary", "token")).alias("side"))
+        rows = rows.join(side, "stream_id", "left")
+    else:
+        rows, inputs = rows.withColumn("side", F.lit(None).cast("struct<vocabulary: string, token: string>")), dict(side_inputs or {})
+    rows = with_declarations(rows, declarations) if isinstance(declarations, DataFrame) else rows
+    by_name = Declaration() if isinstance(declarations, DataFrame) else declarations
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -172,10 +185,13 @@ def run_outcomes(
         )
         for batch in batches:
             out = []
-            for stream, marked, outcome, token in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = declarations.get(stream, Declaration()) if isinstance(declarations, Mapping) else declarations
+            columns = (batch.column(c).to_pylist() for c in ("stream_id", "marked", "outcome", "token", "side"))
+            for stream, marked, outcome, token, side, said in zip(*columns, declared(batch), strict=True):
+                own = by_name.get(stream, Declaration()) if isinstance(by_name, Mapping) else by_name
+                own = own if said is None else declaration_of(said)
                 view = rules.for_stream(own.dialect, own.channel)
-                out.append({"stream_id": stream, **resolve_outcome(marked, outcome, token, inputs.get(stream), view, rules)})
+                given = inputs.get(stream) if side is None else (side["vocabulary"], side["token"])
+                out.append({"stream_id": stream, **resolve_outcome(marked, outcome, token, given, view, rules)})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return rows.mapInArrow(resolve, "stream_id string, outcome string, console string, authoritative boolean, divergent boolean, note string")

@@ -133,7 +133,7 @@ def _time_step(state: dict, said: dict) -> dict:
 
 
 def canonicalize_split(
-    lines: DataFrame, reader_of: Callable[[str], Reader], row: Callable, arrow: pa.Schema, ddl: str, chunk_lines: int = CHUNK
+    lines: DataFrame, reader_of: Callable[..., Reader], row: Callable, arrow: pa.Schema, ddl: str, chunk_lines: int = CHUNK
 ) -> DataFrame:
     """Events of `lines` (stream_id, line_no, raw), the same as in the exact mode. `row` makes a row of an event."""
     chunks = lines.withColumn("chunk", F.floor(F.col("line_no") / chunk_lines).cast("long"))
@@ -142,15 +142,18 @@ def canonicalize_split(
     def said(key: tuple[pa.Scalar, ...], what: dict) -> pa.Table:
         return pa.Table.from_pylist([{"stream_id": key[0].as_py(), "chunk": key[1].as_py(), "said": json.dumps(what)}], schema=_SAID)
 
+    def own(key: tuple[pa.Scalar, ...], rows: pa.Table) -> Reader:
+        return reader_of(key[0].as_py(), rows["declared"][0].as_py() if "declared" in rows.column_names and len(rows) else None)
+
     def route(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        return said(key, {"routes": routes(reader_of(key[0].as_py()), (raw for _, raw in _ordered(rows)))})
+        return said(key, {"routes": routes(own(key, rows), (raw for _, raw in _ordered(rows)))})
 
     def count(key: tuple[pa.Scalar, ...], rows: pa.Table, before: pa.Table) -> pa.Table:
-        reader, state = reader_of(key[0].as_py()), json.loads(before["said"][0].as_py())
+        reader, state = own(key, rows), json.loads(before["said"][0].as_py())
         return said(key, summary(reader, _declared(rows), state["sticky"]) | {"sticky": state["sticky"]})
 
     def read(key: tuple[pa.Scalar, ...], rows: pa.Table, before: pa.Table) -> pa.Table:
-        reader, said_ = reader_of(key[0].as_py()), json.loads(before["said"][0].as_py())
+        reader, said_ = own(key, rows), json.loads(before["said"][0].as_py())
         state = State(said_["sticky"], said_["year"], said_["id"])
         if said_["context"] is not None:
             reader = reader.declared(said_["context"])

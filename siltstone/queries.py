@@ -505,6 +505,17 @@ def run_outcomes(spark, sf_dir):
     return reports.run_outcomes(rows, all_rules(), Declaration("jenkins"), {str(k): ("jenkins", "UNSTABLE") for k in range(10)})
 
 
+@query("run_outcomes_table", ORACLE_SQL["run_outcomes"])
+def run_outcomes_table(spark, sf_dir):
+    """run_outcomes() with declarations and side inputs as tables, joined by stream."""
+    line = "CASE event_type WHEN 'error' THEN 'Finished: FAILURE' WHEN 'purchase' THEN concat('x', char(13), 'Finished: SUCCESS') ELSE 'Finished: not yet' END"
+    rows = event_lines(spark, sf_dir, line, "event_id % 50")
+    streams = rows.select("stream_id").distinct()
+    said = streams.selectExpr("stream_id", "'jenkins' AS dialect", "CAST(NULL AS string) AS channel", "CAST(NULL AS array<string>) AS transports", "CAST(NULL AS map<string,string>) AS context")
+    side = streams.where("CAST(stream_id AS int) < 10").selectExpr("stream_id", "'jenkins' AS vocabulary", "'UNSTABLE' AS token")
+    return reports.run_outcomes(rows, all_rules(), said, side)
+
+
 @query(
     "units",
     """SELECT event_id, 'Step' AS kind, CASE event_id % 2 WHEN 0 THEN 'build v' || user_id || '.' || (event_id % 7) || ' (x)' ELSE 'tool@v' || user_id END AS name,
@@ -605,6 +616,19 @@ def mask_declared(spark, sf_dir):
     return canonical.canonicalize(rows, all_rules(), said).select(F.col("line_no").alias("event_id"), "template_str")
 
 
+@query(
+    "mask_declared_table",
+    """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'merge PR-<*> into main' ELSE 'merge PR-' || (10000 + user_id) || ' into main' END AS template_str FROM events""",
+)
+def mask_declared_table(spark, sf_dir):
+    """A stream to each user; a table joined by stream declares a value for those of even id."""
+    rows = event_lines(spark, sf_dir, "concat('merge PR-', 10000 + user_id, ' into main')", "user_id")
+    context = F.create_map(F.lit("pull_request"), (F.col("user_id") + 10000).cast("string"))
+    said = table(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("stream_id")).distinct().withColumn("user_id", F.col("stream_id"))
+    said = said.select("stream_id", F.lit("github").alias("dialect"), F.lit("").alias("channel"), F.array().cast("array<string>").alias("transports"), context.alias("context"))
+    return canonical.canonicalize(rows, all_rules(), said).select(F.col("line_no").alias("event_id"), "template_str")
+
+
 # --- records and telemetry
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.canonical import readers, utf8, with_bytes, with_contexts
+from ..operators.canonical import readers, utf8, with_bytes, with_contexts, with_declarations
 from ..operators.stream import Declaration, State
 from ..plans.packages import NO_RULES
 from ..plans.rules import Rules
@@ -27,16 +27,18 @@ def canonicalize_stream(lines: DataFrame, rules: Rules = NO_RULES, declarations=
     Lines of a stream are read in order of line_no within a micro-batch; batches must come in order. What a stream keeps
     is its format, the last time and the next id, however long it is. Event time is the events' own: add a watermark on
     timestamp_ns behind this where windows follow. `contexts` is as for canonicalize(), a streaming DataFrame too; a context
-    must come in the batch of the first line that it is for, or before.
+    must come in the batch of the first line that it is for, or before. `declarations` may be a table as there, not a stream.
     """
-    reader_of = readers(rules, declarations, normalize, "", False, False)
+    reader_of = readers(rules, declarations, normalize)
 
     def read(key: tuple, frames: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
         state, context = State(), None
         if kept.exists:
             sticky, year, next_id, context = kept.get
             state = State(sticky or "", year, next_id)
-        reader, rows = reader_of(key[0]), []
+        frames = list(frames)
+        own = frames[0]["declared"].iloc[0] if "declared" in frames[0] else None
+        reader, rows = reader_of(key[0], None if pd.isna(own) else own), []
         if context is not None:
             reader = reader.declared(json.loads(context))
         given = ((n, pd.isna(s), "" if pd.isna(s) else s, r or b"") for f in frames for n, r, s in zip(f["line_no"], f["raw"], f["said"]))
@@ -60,6 +62,8 @@ def canonicalize_stream(lines: DataFrame, rules: Rules = NO_RULES, declarations=
 
     rows = with_bytes(lines)
     rows = rows.withColumn("said", F.lit(None).cast("string")) if contexts is None else with_contexts(rows, contexts)
+    if isinstance(declarations, DataFrame):
+        rows = with_declarations(rows, declarations)
     return rows.groupBy("stream_id").applyInPandasWithState(read, STREAM_DDL, _STATE_DDL, "append", "NoTimeout")
 
 

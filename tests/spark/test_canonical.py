@@ -201,3 +201,57 @@ def test_contexts_within_a_stream(spark, tmp_path):
     out = canonicalize_stream(streams[0], rules, declared, contexts=streams[1]).writeStream.format("memory").queryName("declared")
     out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(map(tuple, spark.table("declared").select(*columns_).collect())) == want
+
+
+DECLARATIONS = "stream_id string, dialect string, channel string, transports array<string>, context map<string,string>"
+
+
+def test_declarations_as_a_table(spark, tmp_path):
+    rules, text = all_rules(), "2026-01-15T10:00:00.1234567Z merge PR-4711 into refs/heads/fix-it"
+    by_name = {
+        "a": Declaration("github", context=(("pull_request", "4711"),)),
+        "b": Declaration("github", context=(("head_ref", "fix-it"), ("pull_request", "1"))),
+        "c": Declaration("github", transports=("api-rfc3339-line-prefix",), context=(("pull_request", "4711"),)),
+    }
+    lines_ = [(s, n, text) for s in ("a", "b", "c", "d", None) for n in range(5)]
+    rows = [(s, d.dialect, d.channel, list(d.transports), dict(d.context)) for s, d in by_name.items()]
+    # Repeated rows change nothing; a null stream_id names no stream; null members declare nothing.
+    rows += [rows[0], (None, "github", None, None, {"pull_request": "4711"}), ("d", None, None, None, None)]
+    schema = "stream_id string, line_no long, raw string"
+    df, table = spark.createDataFrame(lines_, schema).repartition(3), spark.createDataFrame(rows, DECLARATIONS)
+    columns_ = ["stream_id", "line_no", "id", "timestamp_ns", "template_str", "content"]
+    read = lambda declarations, **more: sorted(map(tuple, canonical.canonicalize(df, rules, declarations, **more).select(*columns_).collect()), key=repr)
+    want = read(by_name, mode="stream")
+    assert len(want) == len(lines_) and len({w[4] for w in want}) == 4
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            assert read(table, mode="stream") == want and read(table, mode="split", chunk_lines=2) == want
+            assert read(table) == read(by_name) and read(table.where("false")) == read({})
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    changes = spark.createDataFrame([("a", 2, {"head_ref": "fix-it"})], "stream_id string, line_no long, context map<string,string>")
+    for mode in ("stateless", "stream", "split"):
+        assert read(table, mode=mode, contexts=changes) == read(by_name, mode=mode, contexts=changes)
+    spark.createDataFrame([x for x in lines_ if x[0]], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = canonicalize_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), rules, table).writeStream.format("memory").queryName("by_table")
+    out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.table("by_table").select(*columns_[:5]).collect()
+    assert sorted(map(tuple, got), key=repr) == [w[:5] for w in want if w[0]]
+    with pytest.raises(Exception, match="nope"):
+        canonical.canonicalize(df, rules, spark.createDataFrame([("a", "nope", None, None, None)], DECLARATIONS)).count()
+
+
+def test_side_inputs_as_a_table(spark):
+    rows = [("a", 0, "Finished: SUCCESS"), ("a", 1, "x\rFinished: FAILURE"), ("b", 0, "nothing"), ("c", 0, "Finished: ODD"), ("d", 0, "Finished: ABORTED"), ("e", 0, "Finished: ABORTED")]
+    df = spark.createDataFrame(rows, "stream_id string, line_no long, raw string")
+    inputs = {"a": ("jenkins", "UNSTABLE"), "b": ("github", "nope"), "d": ("github", "timed_out")}
+    by_name = {s: Declaration("jenkins") for s in "abcd"}
+    want = sorted(map(tuple, reports.run_outcomes(df, all_rules(), by_name, inputs).collect()))
+    declared = spark.createDataFrame([(s, "jenkins", None, None, None) for s in "abcd"], DECLARATIONS)
+    given = [(s, *x) for s, x in inputs.items()] + [("a", "jenkins", "UNSTABLE"), ("c", None, "SUCCESS"), ("e", "jenkins", None), (None, "jenkins", "SUCCESS"), ("z", "jenkins", "SUCCESS")]
+    side = spark.createDataFrame(given, "stream_id string, vocabulary string, token string")
+    assert sorted(map(tuple, reports.run_outcomes(df, all_rules(), declared, side).collect())) == want
+    assert [r[1] for r in want] == ["UNSTABLE", "UNKNOWN", "UNKNOWN", "ABORTED", "UNKNOWN"]
+    none = reports.run_outcomes(df, all_rules(), declared, side.where("false"))
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, reports.run_outcomes(df, all_rules(), by_name).collect()))
