@@ -69,42 +69,62 @@ def _trace(t: records.Trace) -> dict:
     return vars(t) | {k: Decimal(getattr(t, k)) for k in ("trace_id", "span_id", "parent_span_id")}
 
 
-_NO_TRACE = records.Trace()
-_NO_TRACE_ROW = _trace(_NO_TRACE)
-
-
 def utf8(latin: str) -> str:
     """Latin-1 text back as UTF-8; each ill-formed part becomes U+FFFD."""
     return latin if latin.isascii() else latin.encode("latin-1").decode("utf-8", "replace")
 
 
-def event_row(stream: str, line_no: int, event: Event | None, reason: str, stateless: bool = False) -> dict:
-    """An event as a row of EVENT_ARROW; a line without one keeps its place and says why."""
+_NAMES = EVENT_ARROW.names
+_TRACE = _NAMES.index("trace")
+_NO_EVENT = (None,) * (len(_NAMES) - 3)
+
+
+def event_cells(stream: str, line_no: int, event: Event | None, reason: str, stateless: bool = False) -> tuple:
+    """An event in the order of EVENT_ARROW, its trace as it is; a line without one keeps its place and says why."""
     if event is None:
-        return {"stream_id": stream, "line_no": line_no, "no_event_reason": reason}
-    p, t = event.parsed, event.parsed.trace
-    return {
-        "stream_id": stream,
-        "line_no": line_no,
-        "id": None if stateless else event.id,
-        "timestamp_ns": event.timestamp_ns,
-        "declared_timestamp": p.declared_timestamp,
-        "level": p.level,
-        "declared_level": p.declared_level,
-        "format": p.format,
-        "component": utf8(p.component),
-        "host": utf8(p.host),
-        "template_str": utf8(event.template),
-        "params": [utf8(x) for x in event.params],
-        "structural_role": event.role,
-        "trace": _trace(t) if t != _NO_TRACE else _NO_TRACE_ROW,
-        "ordinals": [dict(zip(("field_name", "schedule", "value"), o)) for o in p.ordinals],
-        "linked_span_ids": [Decimal(x) for x in p.linked_span_ids],
-        "echoed_source": p.echoed_source,
-        "no_role_witness_key": utf8(p.no_role_witness_key),
-        "template_id": event.template_id,
-        "content": utf8(p.content),
-    }
+        return stream, line_no, *_NO_EVENT, reason
+    p = event.parsed
+    return (
+        stream,
+        line_no,
+        None if stateless else event.id,
+        event.timestamp_ns,
+        p.declared_timestamp,
+        p.level,
+        p.declared_level,
+        p.format,
+        utf8(p.component),
+        utf8(p.host),
+        utf8(event.template),
+        [utf8(x) for x in event.params],
+        event.role,
+        p.trace,
+        [dict(zip(("field_name", "schedule", "value"), o)) for o in p.ordinals],
+        [Decimal(x) for x in p.linked_span_ids],
+        p.echoed_source,
+        utf8(p.no_role_witness_key),
+        event.template_id,
+        utf8(p.content),
+        None,
+    )
+
+
+def event_row(stream: str, line_no: int, event: Event | None, reason: str, stateless: bool = False) -> dict:
+    """event_cells() as a row of EVENT_ARROW."""
+    row = dict(zip(_NAMES, event_cells(stream, line_no, event, reason, stateless), strict=True))
+    if event is not None:
+        row["trace"] = _trace(row["trace"])
+    return row
+
+
+def event_batch(cells: list[tuple]) -> pa.RecordBatch:
+    """Rows of event_cells() as columns. Hardly a line has a trace, so each different one is made once and taken by place."""
+    columns = list(zip(*cells)) or [()] * len(_NAMES)
+    traces = {t: k for k, t in enumerate(dict.fromkeys(columns[_TRACE]))}
+    made = pa.array([None if t is None else _trace(t) for t in traces], EVENT_ARROW.field("trace").type)
+    places = pa.array([traces[t] for t in columns[_TRACE]], pa.int64())
+    arrays = [made.take(places) if k == _TRACE else pa.array(own, f.type) for k, (own, f) in enumerate(zip(columns, EVENT_ARROW, strict=True))]
+    return pa.RecordBatch.from_arrays(arrays, schema=EVENT_ARROW)
 
 
 def with_bytes(lines: DataFrame) -> DataFrame:
@@ -161,8 +181,8 @@ def canonicalize(
             for (stream, number, raw), said in zip(latin_lines(batch), declared(batch), strict=True):
                 if reader is None or stream != current:
                     current, state, reader = stream, State(), reader_of(stream, said)
-                rows.append(event_row(stream, number, *reader.read(raw, state), stateless))
-            yield pa.RecordBatch.from_pylist(rows, schema=EVENT_ARROW)
+                rows.append(event_cells(stream, number, *reader.read(raw, state), stateless))
+            yield event_batch(rows)
 
     return lines.mapInArrow(read, EVENT_DDL)
 
